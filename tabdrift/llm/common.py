@@ -77,3 +77,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", mo
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+#: Byte table that lower-cases A-Z and turns every other ASCII byte outside 0-9 and a-z into a space; UTF-8 stays.
+_WORD_BYTES = bytes(
+    b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
+)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text as UTF-8: runs of digits, letters (A-Z lower-cased) and everything beyond ASCII."""
+    return utf8(text).translate(_WORD_BYTES).split()
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")

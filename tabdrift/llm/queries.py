@@ -1,12 +1,14 @@
 """Queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from . import op02_chat_format, op03_url_filters, op08_secrets, op09_quality_rules
+from . import op01_license, op02_chat_format, op03_url_filters, op08_secrets, op09_quality_rules, op10_packing
 
 QUERIES = {
+    "op1_license_scans": op01_license.op1_license_scans,
     "op2_chat_format": op02_chat_format.op2_chat_format,
     "op3_url_filters": op03_url_filters.op3_url_filters,
     "op8_secret_scans": op08_secrets.op8_secret_scans,
     "op9_quality_rules": op09_quality_rules.op9_quality_rules,
+    "op10_best_fit_packing": op10_packing.op10_best_fit_packing,
 }
 ORACLES = {
     "op2_chat_format": op02_chat_format.ORACLE,
