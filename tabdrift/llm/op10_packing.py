@@ -57,7 +57,7 @@ class Encoder:
         import unicodedata
 
         text = chunk.decode("utf-8", "replace")
-        if "<|" in text or max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text):
+        if "<|" in text or not text.isascii() and (max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text)):
             return [text]  # special strings, and what lower-cases or composes in other ways, go as they are
         return self.split(text.lower())
 
