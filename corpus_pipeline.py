@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabdrift.llm import op08_secrets, op09_quality_rules
+from tabdrift.llm import op04_decontaminate, op05_jaccard, op08_secrets, op09_quality_rules, op10_packing
 from tabdrift.llm.common import Scratch
 
 
@@ -14,13 +14,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return op09_quality_rules.keep(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays."""
+    return op05_jaccard.keep_one(docs, Scratch(spark))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    scratch = Scratch(spark)
+    hits = op04_decontaminate.find(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    held = scratch.save(hits.where("size(items) > 0 and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking values are replaced in the texts; widely copied examples stay."""
     _, live = op08_secrets.scan(docs, Scratch(spark))
     return op08_secrets.redact(docs, live)
 
 
-STAGES = [("quality_rules", quality_rules), ("secret_scans", secret_scans)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its sequence and place."""
+    scratch = Scratch(spark)
+    return op10_packing.pack(scratch.save(op10_packing.pieces(docs), "pieces"), scratch)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Tokenization and packing can't be said in SQL.
 ORACLE_SQL = None
