@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,7 @@ class Scratch:
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts and sets are long
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,6 +47,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of frames that are gone; what was written stays."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", most: int = 60) -> DataFrame:
     """Connected components of edges(a, b) by alternating large-star and small-star steps.

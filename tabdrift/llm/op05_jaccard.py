@@ -7,6 +7,7 @@ Sets are joined exactly, up to 64-bit hashes of shingles and of whole sets:
    order comes from a counting sketch of fixed size over all documents, so shingles of common passages come last.
    Prefix shingles that only one class has are dropped where they meet; the rest form tiles (shingle, size band). Sets
    of similar size lie in the same band or in the next one.
+   A pair needs a common shingle even in the shorter prefix that its two sizes ask for, so each keeps its place.
 3. In a tile every set first meets the tile's pivot only. A parity bitmap of each set bounds overlap from above: the
    bits in which two bitmaps differ can't outnumber the shingles in which the sets do. What passes is intersected
    exactly, as sorted arrays. Connected components merge what is linked.
@@ -30,16 +31,19 @@ from .common import Scratch, connected_components, utf8
 WORDS = 5
 #: Counters of the sketch that orders shingles, and how it is cut for summing.
 COUNTERS, SLICES = 1 << 18, 16
-#: Longs of a set's parity bitmap.
-LONGS = 8
-#: Active sets whose ids are broadcast, 8 bytes each; more are joined by a shuffle.
+#: Bits of the shortest parity bitmap of a set.
+LEAST_BITS = 512
+#: Active sets and their pairs that are broadcast, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Partners that one row of a set carries, about.
+MEETS = 500
 #: Bytes of text hashed at once, unless one text is longer.
 CHUNK = 1 << 20
 _MUL, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict = {}
 _BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
 _BYTES[65:91] = _BYTES[97:123]
+_PREFIX = np.dtype([("t", "<u8"), ("o", "<i8"), ("p", "<i4")])
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -108,9 +112,32 @@ def _set_hash(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * LONGS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parity(s: np.ndarray) -> bytes:
+    """One bit for each hash bucket: whether the set has an odd number of shingles there. About a bit a shingle, so
+    that large sets don't fill it up; the upper halves of a longer bitmap fold onto a shorter one by exclusive or."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ: no more than the shingles in which their sets do."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(x), len(y))
+    fold = lambda v: np.bitwise_xor.reduce(v.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(fold(x) ^ fold(y)).sum())
+
+
+def _bound(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = [
+            (a, b)
+            for a, b, n, m, x, y in zip(*[batch.column(k).to_pylist() for k in range(6)])
+            if 4 * min(n, m) >= 3 * max(n, m) and 7 * differing(x, y) <= n + m
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
 
 def _batches(batches, size: int = 512):
@@ -119,33 +146,29 @@ def _batches(batches, size: int = 512):
             yield batch.slice(i, min(size, batch.num_rows - i))
 
 
-BITS = [f"b{k}" for k in range(LONGS)]
-
-
 def _measure(batches):
     """Per document: number of shingles, set hash, bitmap; last, what the partition counted for the sketch."""
     import pyarrow as pa
 
     counted = np.zeros(COUNTERS, np.int64)
-    names = ["doc_id", "n", "node", *BITS, "slice", "counts"]
+    names = ["doc_id", "n", "node", "bits", "slice", "counts"]
     for batch in _batches(batches):
         sets = shingle_sets(batch.column(1).to_pylist())
         for s in sets:
             counted[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
-        bits = np.array([_parity(s) for s in sets], np.int64).reshape(len(sets), LONGS)
         nothing = pa.nulls(len(sets), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) for s in sets], pa.int64()), *[pa.array(bits[:, k]) for k in range(LONGS)], nothing, pa.nulls(len(sets), pa.binary())],
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([_parity(s) for s in sets], pa.binary()), nothing, pa.nulls(len(sets), pa.binary())],
             names,
         )
     parts = counted.reshape(SLICES, -1)
     nothing = pa.nulls(SLICES, pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [nothing] * (3 + LONGS) + [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names
+        [nothing] * 3 + [pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names
     )
 
 
-MEASURED = "doc_id long, n long, node long, " + ", ".join(f"{b} long" for b in BITS) + ", slice int, counts binary"
+MEASURED = "doc_id long, n long, node long, bits binary, slice int, counts binary"
 
 
 def _add(key, table):
@@ -182,19 +205,20 @@ def _deal(sketch, hot: float, parts: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in _batches(batches, 4096):
-            tokens, owners, common = [], [], []
+        for batch in _batches(batches, 2048):
+            tokens, owners, places, common = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 if len(s):
                     t, c = prefix(s, sketch.value)
                     tokens.append(t)
                     owners.append(np.full(len(t), _set_hash(s), np.int64))
+                    places.append(np.arange(len(t), dtype=np.int32))
                     common.append(c > hot)
             if not tokens:
                 continue
-            token, owner, is_hot = np.concatenate(tokens), np.concatenate(owners), np.concatenate(common)
+            token, owner, place, is_hot = np.concatenate(tokens), np.concatenate(owners), np.concatenate(places), np.concatenate(common)
             part = np.where(is_hot, owner.view(np.uint64), token >> np.uint64(8)) % np.uint64(parts)
-            pack = np.rec.fromarrays([token, owner], dtype=[("t", "<u8"), ("o", "<i8")])
+            pack = np.rec.fromarrays([token, owner, place], dtype=_PREFIX)
             rows = []
             for p in np.unique(part):
                 mine = part == p
@@ -205,43 +229,47 @@ def _deal(sketch, hot: float, parts: int):
 
 
 def _shared(batches):
-    """(token, node) for tokens that more than one node has."""
+    """(token, node, place) for tokens that more than one node has; place counts rarer shingles of the node."""
     import pyarrow as pa
 
-    kind = [("t", "<u8"), ("o", "<i8")]
     cold: list[bytes] = []
 
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(rows["t"].view(np.int64)), pa.array(np.ascontiguousarray(rows["o"]))], ["token", "node"])
+    def out(t, o, p):
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(o), pa.array(p)], ["token", "node", "place"])
 
+    parts = lambda rows: [np.ascontiguousarray(rows[k]) for k in "top"]
     for batch in batches:
         for c, h in zip(batch.column(1), batch.column(2)):
             cold.append(c.as_py())
             if rows := h.as_py():
-                rows = np.frombuffer(rows, kind)
-                yield out(np.rec.fromarrays([np.ascontiguousarray(rows["t"]), np.ascontiguousarray(rows["o"])], dtype=kind))
-    rows = np.frombuffer(b"".join(cold), kind)
-    t, o = np.ascontiguousarray(rows["t"]), np.ascontiguousarray(rows["o"])
+                yield out(*parts(np.frombuffer(rows, _PREFIX)))
+    t, o, p = parts(np.frombuffer(b"".join(cold), _PREFIX))
     order = np.lexsort((o, t))
-    t, o = t[order], o[order]
+    t, o, p = t[order], o[order], p[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-    t, o = t[new], o[new]
+    t, o, p = t[new], o[new], p[new]
     same = t[1:] == t[:-1]
     keep = np.zeros(len(t), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    t, o = t[keep], o[keep]
+    t, o, p = t[keep], o[keep], p[keep]
     for i in range(0, len(t), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(t[i : i + 100_000].view(np.int64)), pa.array(o[i : i + 100_000])], ["token", "node"])
+        yield out(t[i : i + 100_000], o[i : i + 100_000], p[i : i + 100_000])
 
 
-def _arrays(batches):
+def _carry(batches):
+    """Each set once as a pivot, and once for every pair in which it meets another one."""
     import pyarrow as pa
 
-    for batch in _batches(batches):
+    for batch in _batches(batches, 64):
         sets = shingle_sets(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+        rows = []
+        for s, is_pivot, meets, node in zip(sets, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            if _set_hash(s) == node:  # another row can have the same id
+                data = s.tobytes()
+                rows += [(node, None, data)] * is_pivot + [(a, node, data) for a in meets]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["a", "b", "set"])
 
 
 def _intersect(batches):
@@ -266,21 +294,28 @@ class _Join:
 
     def bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (a, b) that size and bitmap don't rule out."""
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), *[F.col(b).alias(f"{x}_{b}") for b in BITS])
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
-        return both.where((F.least("a_n", "b_n") * 4 >= F.greatest("a_n", "b_n") * 3) & (differ * 7 <= F.col("a_n") + F.col("b_n"))).select("a", "b")
+        return both.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(_bound, "a long, b long")
 
     def linked(self, pairs: DataFrame, nodes: DataFrame, tag: str) -> DataFrame:
-        """Pairs whose sets meet the threshold, by exact intersection."""
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        active = self.scratch.save(nodes.join(ids, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), f"active_{tag}")
-        few = active.count() <= BROADCAST_IDS
-        held = self.docs.join(F.broadcast(active) if few else active, "doc_id", "left_semi")
-        sets = self.scratch.save(held.mapInArrow(_arrays, "node long, set binary").dropDuplicates(["node"]), f"sets_{tag}")
-        one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        two = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
-        links = self.scratch.save(two.mapInArrow(_intersect, "a long, b long"), f"links_{tag}")
+        """Pairs (a, b) whose sets meet the threshold, by exact intersection. A set travels once for each pair in which
+        it is b, and once if it is any pair's a."""
+        many = pairs.groupBy("b").agg(F.floor(F.count("*") / MEETS).alias("salts"))  # a set with many partners gets several rows
+        salted = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts") + 1))
+        meets = salted.groupBy(F.col("b").alias("node"), "salt").agg(F.collect_list("a").alias("meets")).drop("salt")
+        pivots = pairs.select(F.col("a").alias("node"), F.lit(1).alias("pivot")).distinct()
+        active = nodes.select("node", F.col("rep").alias("doc_id")).join(meets.join(pivots, "node", "full"), "node")
+        active = active.select("doc_id", F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("meets", F.array().cast("array<long>")).alias("meets"), "node")
+        active = self.scratch.save(active, f"active_{tag}")
+        size = active.agg(F.count("*"), F.sum(F.size("meets"))).first()
+        few = size[0] + (size[1] or 0) <= BROADCAST_IDS
+        held = self.docs.join(F.broadcast(active) if few else active, "doc_id").select("doc_id", "text", "pivot", "meets", "node")
+        carried = self.scratch.save(held.mapInArrow(_carry, "a long, b long, set binary"), f"sets_{tag}")
+        one = carried.where("b is not null").select("a", "b", F.col("set").alias("y"))
+        other = carried.where("b is null").select("a", F.col("set").alias("x"))
+        links = one.join(other, "a").select("a", "b", "x", "y").mapInArrow(_intersect, "a long, b long").distinct()
+        links = self.scratch.save(links, f"links_{tag}")
         self.scratch.drop(f"sets_{tag}")
         return links
 
@@ -295,20 +330,29 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     sketch = _sketch(measured)
     mean = float(sketch.mean())
     hot = mean + 12 * mean**0.5 + 64
-    nodes = measured.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *[F.min(b).alias(b) for b in BITS])
+    nodes = measured.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     nodes = scratch.save(nodes, "nodes")
     packed = int(sketch.sum()) * 4  # bytes: a quarter of the shingles, 16 each
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packed // (32 << 20) + 1)
     dealt = docs.mapInArrow(_deal(spark.sparkContext.broadcast(sketch), hot, parts), "part int, cold binary, hot binary")
-    shared = scratch.save(dealt.repartition(parts, "part").mapInArrow(_shared, "token long, node long").distinct(), "shared")
+    shared = scratch.save(dealt.repartition(parts, "part").mapInArrow(_shared, "token long, node long, place int").distinct(), "shared")
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
-    tiles = scratch.save(shared.join(nodes.select("node", "n"), "node").select("token", "node", "n", band.alias("band")), "tiles")
+    tiles = scratch.save(shared.join(nodes.select("node", "n"), "node").select("token", "node", "place", "n", band.alias("band")), "tiles")
     scratch.drop("shared")
-    # each set meets the pivots of its own band and of the next
-    pivots = tiles.groupBy("token", "band").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
-    near = pivots.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "pivot")
+    # each set meets the pivots of its own band and of the next; a pivot has few shingles rarer than the tile's, as a
+    # text has from which the others were copied
+    pivots = tiles.groupBy("token", "band").agg(F.min_by(F.struct("node", "n", "place"), F.struct(F.col("place") / F.col("n"), F.xxhash64("node"))).alias("p"))
+    near = pivots.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "p")
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    first = tiles.join(near, ["token", "band"]).where("node <> pivot").select(*pair("node", "pivot")).distinct()
+
+    def meet(n, place, m, other):
+        """Sizes within the threshold, and the shingle within the prefix that sets of just these sizes need."""
+        free = lambda size: size - F.ceil((F.col(n) + F.col(m)) * F.lit(3) / F.lit(7))
+        sizes = F.least(n, m) * 4 >= F.greatest(n, m) * 3
+        return sizes & (F.col(place) <= free(F.col(n))) & (F.col(other) <= free(F.col(m)))
+
+    first = tiles.join(near, ["token", "band"]).select("node", "n", "place", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("p.place").alias("px"))
+    first = first.where((F.col("node") != F.col("x")) & meet("n", "place", "nx", "px")).select(F.col("x").alias("a"), F.col("node").alias("b")).distinct()
     first = scratch.save(join.bounded(first, nodes), "first")
     links = join.linked(first, nodes, "first")
     classes = connected_components(links, scratch, "cc")
@@ -318,10 +362,10 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     sizes = own.groupBy("token", "component").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
     apart = own.join(largest.select("token", "largest"), "token")
-    minor = apart.where("component <> largest").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    meet = (F.col("cx") != F.col("component")) & (F.least("nx", "n") * 4 >= F.greatest("nx", "n") * 3)
-    rest = minor.join(apart.select("token", "node", "component", "n"), "token").where(meet).select(*pair("x", "node")).distinct()
-    rest = scratch.save(join.bounded(rest.join(first, ["a", "b"], "left_anti"), nodes), "rest")
+    minor = apart.where("component <> largest").select("token", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    rest = minor.join(apart.select("token", "node", "component", "n", "place"), "token")
+    rest = rest.where((F.col("cx") != F.col("component")) & meet("n", "place", "nx", "px")).select(*pair("x", "node")).distinct()
+    rest = scratch.save(join.bounded(rest.join(first.select(*pair("a", "b")), ["a", "b"], "left_anti"), nodes), "rest")
     if not rest.isEmpty():
         more = join.linked(rest, nodes, "rest")
         classes = connected_components(links.union(more), scratch, "cc_all")
