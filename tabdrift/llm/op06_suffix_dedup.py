@@ -30,8 +30,6 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of stretches in one transform, unless one anchor has more.
 TILE = 1 << 20
-#: Bytes of a small side that are broadcast; a larger one is joined by a shuffle.
-BROADCAST = 96 << 20
 _BYTES = np.random.default_rng(6).integers(0, 1 << 64, 256, np.uint64)
 _ENTRY = np.dtype([("t", "<u4"), ("o", "<u4"), ("p", "<u2")])
 _STRETCH = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("size", "<i4")])
@@ -157,11 +155,19 @@ def suffix_array(text: np.ndarray, longest: int) -> np.ndarray:
     rank += len(ends)
     rank[ends] = np.arange(len(ends))
     width, top = 1, len(ends) + 257
+    if top < 46_000:  # four bytes fit one number
+        step = np.concatenate([rank, np.zeros(3, np.int64)])
+        key = ((rank * top + step[1 : n + 1]) * top + step[2 : n + 2]) * top + step[3 : n + 3]
+        order = np.argsort(key)
+        sorted_ = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+        width, top = 4, n
     while True:
         follow = np.zeros(n, np.int64)
         follow[: n - width] = rank[width:] + 1
         key = rank * (top + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
@@ -315,12 +321,10 @@ def deduplicate(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     low = F.col("node").bitwiseAND(F.lit(0xFFFFFFFFFFFF))
     lists = nodes.withColumn("node48", low).join(lists, "node48").select("node", F.col("rep").alias("doc_id"), "known")
     lists = scratch.save(lists, "lists")
+    del dealt
+    scratch.release()
 
-    def small(df: DataFrame, bytes_) -> DataFrame:
-        return F.broadcast(df) if (df.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST else df
-
-    weight = F.aggregate("known", F.lit(100).cast("long"), lambda s, x: s + F.octet_length(x["anchors"]) + 40)
-    held = docs.join(small(lists, weight), ["doc_id", "node"]).select("doc_id", "text", "known")
+    held = docs.join(lists.hint("merge"), ["doc_id", "node"]).select("doc_id", "text", "known")
     dealt = held.mapInArrow(_stretches(parts), "part int, meta binary, data binary")
     spans = dealt.repartition(parts, "part").mapInArrow(_tiles, "doc_id long, spans binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
@@ -330,8 +334,9 @@ def deduplicate(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
         lists.select("doc_id", "node").join(spans, "doc_id").select("doc_id", "node", F.lit(False).alias("copy"), "spans")
     )
     fate = scratch.save(fate, "fate")
-    weight = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)), F.lit(0)) + 60
-    out = docs.join(small(fate, weight), ["doc_id", "node"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)), "spans")
+    del lists, held, dealt, spans
+    scratch.release()
+    out = docs.join(fate.hint("merge"), ["doc_id", "node"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)), "spans")
     return out.mapInArrow(_cut(with_text), RESULT + ", text string" * with_text)
 
 
