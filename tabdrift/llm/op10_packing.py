@@ -23,7 +23,7 @@ from .common import Scratch, utf8
 
 CAPACITY, END = 4096, 1
 #: Chunks, and words, whose ids a worker remembers; each memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _state: dict = {}
 
 
@@ -68,7 +68,9 @@ class Encoder:
             known.clear()
         if len(parts) > REMEMBERED:
             parts.clear()
-        new = {c: self.cut(c) for c in {c for one in chunks for c in one if c not in known}}
+        found = [list(map(known.get, one)) for one in chunks]
+        short = [k for k, ids in enumerate(found) if None in ids]
+        new = {c: self.cut(c) for c in {c for k in short for c, ids in zip(chunks[k], found[k]) if ids is None}}
         lacking = list({p for cut in new.values() for p in cut if p not in parts})
         for i in range(0, len(lacking), 10_000):
             some = lacking[i : i + 10_000]
@@ -76,8 +78,10 @@ class Encoder:
                 parts[p] = np.array(e.ids, "<u4").tobytes()
         for c, cut in new.items():
             known[c] = b"".join([parts[p] for p in cut])
+        for k in short:
+            found[k] = list(map(known.__getitem__, chunks[k]))
         end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, one), end]), "<u4") for one in chunks]
+        return [np.frombuffer(b"".join([*ids, end]), "<u4") for ids in found]
 
 
 def encoder(path: str) -> Encoder:
