@@ -7,8 +7,8 @@ A 50-byte string that also starts in a document with a smaller id is removed, wh
    anchors, so anchors that only one text has can be dropped, and a window only has to meet windows of its anchor.
 3. Windows of shared anchors go, as one stretch of bytes per anchor and text, to the tile of the anchor. A tile joins its
    distinct stretches to one string and builds its suffix array and transform. From the interval of all suffixes, a
-   breadth-first backward extension makes the intervals of strings of 1, 2, 3, ... 50 bytes, and drops intervals of a
-   single stretch on the way; it stops at 50, where the intervals are the classes of equal windows.
+   breadth-first backward extension makes the intervals of strings of 1, 2, 3, ... 50 bytes, only of those that end where
+   50 bytes fit before, and drops intervals of a single stretch on the way; it stops at 50, where the intervals are the classes of equal windows.
 4. Each class's smallest id decides which windows go; a last pass cuts them out.
 
 Cases: a null text counts as empty; texts below 50 bytes lose nothing; rows that repeat a document have equal ids and
@@ -189,16 +189,16 @@ def classes(stretches: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, n
     back = np.empty(n, np.int32)  # from the row of a suffix to the row of the one that starts a byte before
     back[by_char] = np.arange(n, dtype=np.int32)
     own = owner[order]
-    rows, which = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    parent = np.empty(n, np.int32)
+    # rows of the suffixes that a string of this length can end before: so many bytes of their stretch go before them
+    begin = np.cumsum([0] + [len(s) + 1 for s in stretches[:-1]])
+    rows = np.flatnonzero(order - begin[own] >= length).astype(np.int32)
+    which, parent = np.zeros(len(rows), np.int32), np.empty(n, np.int32)
     for _ in range(length):
-        live = bwt[rows] != 0
-        rows, which = rows[live], which[live]
+        if not len(rows):
+            break
         to = back[rows]
         parent[to] = which
         rows = np.sort(to)
-        if not len(rows):
-            break
         up = parent[rows]
         first_byte = text[order[rows]]
         new = np.ones(len(rows), bool)
