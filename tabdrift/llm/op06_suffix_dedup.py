@@ -32,7 +32,9 @@ SPAN = LENGTH - GRAM + 1
 TILE = 1 << 20
 _BYTES = np.random.default_rng(6).integers(0, 1 << 64, 256, np.uint64)
 _ENTRY = np.dtype([("t", "<u4"), ("o", "<u4"), ("p", "<u2")])
-_STRETCH = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("size", "<i4")])
+_STRETCH = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("size", "u1")])  # one anchor has 31 windows at most
+#: Stretches are compressed closer than shuffle files are.
+_ZSTD = "zstd"
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +112,26 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(which[i : i + 10_000]), pa.array([p] * len(part), pa.int32()), pa.array(part, pa.binary())], ["node48", "part", "anchors"])
 
 
+def _pack(meta: np.ndarray, data: bytes) -> bytes:
+    """Count and length, then the fields one after another and the bytes of all stretches, compressed."""
+    import pyarrow as pa
+
+    raw = b"".join([meta[f].tobytes() for f in _STRETCH.names]) + data
+    return np.array([len(meta), len(raw)], "<i8").tobytes() + pa.Codec(_ZSTD, 1).compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, bytes]:
+    import pyarrow as pa
+
+    count, length = np.frombuffer(packed, "<i8", 2).tolist()
+    raw = pa.Codec(_ZSTD).decompress(packed[16:], length, asbytes=True)
+    meta, at = np.empty(count, _STRETCH), 0
+    for f in _STRETCH.names:
+        meta[f] = np.frombuffer(raw, _STRETCH[f], count, at)
+        at += count * _STRETCH[f].itemsize
+    return meta, raw[at:]
+
+
 def _stretches(parts: int):
     """For each shared anchor of a text, the bytes of the windows that it stands for, packed by the anchor's tile."""
 
@@ -140,8 +162,8 @@ def _stretches(parts: int):
             rows = []
             for p in np.unique(part):
                 of = np.flatnonzero(part == p)
-                rows.append((int(p), meta[of].tobytes(), b"".join([chunks[i] for i in of])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "meta", "data"])
+                rows.append((int(p), _pack(meta[of], b"".join([chunks[i] for i in of]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "packed"])
 
     return run
 
@@ -239,23 +261,25 @@ def _windows(meta: np.ndarray, chunks: list[bytes]) -> tuple[np.ndarray, np.ndar
     new[1:] = (entry[1:] != entry[:-1]) | (inside[1:] != inside[:-1] + 1)
     start = np.flatnonzero(new)
     stop = np.append(start[1:], len(entry)) - 1
-    doc, at = meta["doc"][entry[start]], meta["at"][entry[start]]
+    doc, at = meta["doc"][entry[start]], meta["at"][entry[start]].astype(np.int64)
     return doc, at + inside[start], at + inside[stop] + LENGTH
 
 
 def _tiles(batches):
     import pyarrow as pa
 
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
+    held: dict[int, list[bytes]] = {}
     for batch in batches:
-        for p, m, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            held.setdefault(p, []).append((m.as_py(), d.as_py()))
+        for p, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held.setdefault(p, []).append(packed.as_py())
     while held:
         _, blobs = held.popitem()
-        meta = np.frombuffer(b"".join(m for m, _ in blobs), _STRETCH)
-        data = b"".join(d for _, d in blobs)
+        pairs = [_unpack(x) for x in blobs]
         del blobs
-        offset = np.cumsum(meta["size"]) - meta["size"]
+        meta = np.concatenate([m for m, _ in pairs])
+        data = b"".join([d for _, d in pairs])
+        del pairs
+        offset = np.cumsum(meta["size"], dtype=np.int64) - meta["size"]
         order = np.argsort(meta["h"], kind="stable")
         size = np.cumsum(meta["size"][order], dtype=np.int64)
         new = np.flatnonzero(np.concatenate([[True], meta["h"][order][1:] != meta["h"][order][:-1]]))
@@ -325,7 +349,7 @@ def deduplicate(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     scratch.release()
 
     held = docs.join(lists.hint("merge"), ["doc_id", "node"]).select("doc_id", "text", "known")
-    dealt = held.mapInArrow(_stretches(parts), "part int, meta binary, data binary")
+    dealt = held.mapInArrow(_stretches(parts), "part int, packed binary")
     spans = dealt.repartition(parts, "part").mapInArrow(_tiles, "doc_id long, spans binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     reps = nodes.select("node", "rep")
