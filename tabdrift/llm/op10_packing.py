@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, utf8
 
 CAPACITY, END = 4096, 1
-#: Chunks, and words, whose ids a worker remembers; each memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Chunks, and words, whose ids a worker remembers, at most.
+REMEMBERED = 400_000
 _state: dict = {}
 
 
@@ -33,6 +33,30 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memory:
+    """Two tables: the fresh one becomes the stale one when it holds half of what is allowed, and what is found in the
+    stale one is fresh again. So what is met often stays."""
+
+    def __init__(self):
+        self.fresh, self.stale = {}, {}
+
+    def turn(self) -> None:
+        if len(self.fresh) > REMEMBERED // 2:
+            self.fresh, self.stale = {}, self.fresh
+
+    def lacking(self, keys) -> list:
+        """Those of some distinct keys that aren't fresh, after a look at the stale ones."""
+        out = []
+        for k in keys:
+            if k not in self.fresh:
+                ids = self.stale.get(k)
+                if ids is None:
+                    out.append(k)
+                else:
+                    self.fresh[k] = ids
+        return out
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never looks across it, so a text's ids are those of its
     chunks between ASCII white space, one after another; chunks met before aren't encoded again. A chunk of Latin
@@ -48,7 +72,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), Memory(), Memory()
         with open(path) as f:
             pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
@@ -62,16 +86,15 @@ class Encoder:
         return self.split(text.lower())
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        known, parts = self.known, self.parts
+        self.known.turn()
+        self.parts.turn()
+        known, parts = self.known.fresh, self.parts.fresh
         chunks = [utf8(t).split() for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(parts) > REMEMBERED:
-            parts.clear()
         found = [list(map(known.get, one)) for one in chunks]
         short = [k for k, ids in enumerate(found) if None in ids]
-        new = {c: self.cut(c) for c in {c for k in short for c, ids in zip(chunks[k], found[k]) if ids is None}}
-        lacking = list({p for cut in new.values() for p in cut if p not in parts})
+        missing = self.known.lacking({c for k in short for c, ids in zip(chunks[k], found[k]) if ids is None})
+        new = {c: self.cut(c) for c in missing}
+        lacking = self.parts.lacking({p for cut in new.values() for p in cut})
         for i in range(0, len(lacking), 10_000):
             some = lacking[i : i + 10_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
