@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -22,6 +23,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def trim() -> None:
+    """Gives back to the system what an earlier task of this Python worker has freed; workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Written tables that cut lineage. They lie in the folder that spark.checkpoint.dir names, which all executors
     share, so a lost executor costs at most one stage. Only where that is unset (tests on one machine) a temporary

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, utf8
+from .common import Scratch, connected_components, trim, utf8
 
 WORDS = 5
 #: Counters of the sketch that orders shingles, and how it is cut for summing.
@@ -141,6 +141,7 @@ def _bound(batches):
 
 
 def _batches(batches, size: int = 512):
+    trim()
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             yield batch.slice(i, min(size, batch.num_rows - i))

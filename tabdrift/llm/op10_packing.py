@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8
+from .common import Scratch, trim, utf8
 
 CAPACITY, END = 4096, 1
 #: Chunks, and words, whose ids a worker remembers, at most.
@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     def run(batches):
         import pyarrow as pa
 
+        trim()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             size = max(1, min(len(ids), 256))
