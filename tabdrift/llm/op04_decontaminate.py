@@ -6,7 +6,9 @@ the item's score against itself, so one threshold means the same for long and sh
 question (the first half of the item) and its answer (the rest) both overlap with the words around the passage.
 
 The index is held by every worker, so it is built for at most SHARD_ITEMS items at a time; more items are searched
-shard by shard, each over all documents, and the results are merged.
+shard by shard, each over all documents, and the results are merged by a written row key. Document frequencies, the
+number of items, their mean length and the longest item are those of the whole benchmark in every shard, so results
+don't depend on the number of shards.
 
 Cases: null and empty texts have no passages and aren't contaminated; items without words are left out; an item shorter
 than five words, or half of one, is looked for as a whole; equal items each come back; repeated documents each get a row
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import Scratch, words_of
 
 THRESHOLD = 0.6
 #: Least share of the 5-word shingles of question and of answer that must occur around the passage.
@@ -35,13 +37,17 @@ K1, B, BLOCK = 1.2, 0.75, 32
 
 
 class Index:
-    """Postings by term: item numbers in order, impacts, and the largest impact of each block and of the term."""
+    """Postings by term: item numbers in order, impacts, and the largest impact of each block and of the term.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    For a shard, whole describes all items: their number, the sum of their lengths, the longest, and df by word."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, int, dict[bytes, int]] | None = None):
         kept = [(i, w) for i, t in items if (w := words_of(t))]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
         n = len(kept)
-        mean = sum(map(len, self.words)) / n if n else 1.0
+        lengths = [len(w) for w in self.words]
+        every, total, self.longest, df = whole or (n, sum(lengths), max(lengths, default=0), None)
+        mean = total / every if every else 1.0
         lists: dict[bytes, dict[int, int]] = {}
         for k, words in enumerate(self.words):
             for w in words:
@@ -50,8 +56,9 @@ class Index:
         own = np.zeros(n)
         self.number = {w: t for t, w in enumerate(lists)}
         self.docs, self.impacts = [], []
-        for found in lists.values():
-            idf = math.log(1 + (n - len(found) + 0.5) / (len(found) + 0.5))
+        for w, found in lists.items():
+            held = len(found) if df is None else df[w]
+            idf = math.log(1 + (every - held + 0.5) / (held + 0.5))
             at, tf = np.fromiter(found, np.int64), np.fromiter(found.values(), np.float64)
             length = np.array([len(self.words[k]) for k in at])
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
@@ -61,7 +68,6 @@ class Index:
         self.impacts = [x / own[d] for d, x in zip(self.docs, self.impacts)]
         self.most = np.array([x.max() for x in self.impacts] + [0.0])  # the last: terms of no item
         self.blocks = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
-        self.longest = max(map(len, self.words), default=0)
         self._essential(own)
         self.shingles = [self._halves(w) for w in self.words]
 
@@ -198,15 +204,41 @@ def _share(part: set, around: set, text: bytes) -> float:
 SCHEMA = "doc_id long, items array<long>, scores array<double>"
 
 
-def find(spark, docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, items, scores): a row per document row, with the items that it holds."""
+def _indexes(spark, benchmark: DataFrame, scratch: Scratch):
+    """Yields the broadcast index of each shard in turn, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
-    base = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
-    parts = []
+    if shards == 1:
+        yield spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()])), True
+        return
+
+    def words(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = [words_of(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, held), pa.int64()), pa.array([sorted(set(w)) for w in held], pa.list_(pa.binary()))], ["shard", "n", "words"])
+
+    items = scratch.save(items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))), "items")
+    known = scratch.save(items.select("shard", "text").mapInArrow(words, "shard long, n long, words array<binary>").where("n > 0"), "item_words")
+    every, total, longest = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    each = known.select("shard", F.explode("words").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("n"))
+    each = scratch.save(each, "item_words_by_shard")
+    df = scratch.save(each.groupBy("word").agg(F.sum("n").alias("df")), "item_df")
     for k in range(shards):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in some]))
+        of = {bytes(r[0]): r[1] for r in df.join(each.where(F.col("shard") == k), "word", "left_semi").select("word", "df").collect()}
+        some = items.where(F.col("shard") == k).orderBy("item_id", "text").collect()
+        held = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in some], (every, total, longest, of)))
+        yield held, False
+        held.destroy()
+
+
+def find(spark, docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(doc_id, items, scores): a row per document row, with the items that it holds."""
+    scratch = Scratch(spark)
+    base = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
+    keyed, parts = None, []
+    for k, (held, only) in enumerate(_indexes(spark, benchmark, scratch)):
 
         def run(batches, held=held):
             import pyarrow as pa
@@ -218,11 +250,16 @@ def find(spark, docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col
                     ["doc_id", "items", "scores"],
                 )
 
-        parts.append(base.mapInArrow(run, SCHEMA))
-    if shards == 1:
-        return parts[0]
-    every = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.flatten(F.collect_set(F.struct("items", "scores"))["items"]).alias("items"), F.flatten(F.collect_set(F.struct("items", "scores"))["scores"]).alias("scores"))
-    return every
+        if only:
+            return base.mapInArrow(run, SCHEMA)
+        if keyed is None:  # ids may be null or repeated, so rows get a key of their own
+            keyed = scratch.save(base.withColumn("row", F.monotonically_increasing_id()), "rows")
+        hits = keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(run, SCHEMA).where("size(items) > 0")
+        parts.append(scratch.save(hits.withColumnRenamed("doc_id", "row"), f"hits_{k}"))
+    each = reduce(DataFrame.union, parts).select("row", F.explode(F.arrays_zip("items", "scores")).alias("hit"))
+    merged = each.groupBy("row").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+    of = lambda name, kind: F.coalesce(F.col(f"hits.{name}"), F.array().cast(kind)).alias(name)
+    return keyed.select("row", "doc_id").join(merged, "row", "left").select("doc_id", of("items", "array<long>"), of("scores", "array<double>"))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -128,6 +128,22 @@ def test_leaks(spark, awkward):
     assert not [r for r in op04_decontaminate.find(spark, awkward, empty).collect() if r["items"]]
 
 
+def test_leaks_shards(spark, monkeypatch):
+    """Shards change nothing: not the scores of altered items, nor the rows of repeated and missing ids."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 9)
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 50)))) for i in range(40)]
+    altered = lambda t, share: " ".join(w if rng.random() > share else "zz" for w in t.split())
+    docs = [([7, None, k][k % 3], " ".join([*["yy"] * 20, altered(items[k % 40][1], k % 5 / 12), *["xx"] * k])) for k in range(80)]
+    docs += [(7, docs[0][1]), (500, None), (None, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(((r.doc_id, r["items"], [round(s, 9) for s in r.scores]) for r in op04_decontaminate.find(spark, df, bench).collect()), key=repr)
+    one = found()
+    monkeypatch.setattr(op04_decontaminate, "SHARD_ITEMS", 6)
+    assert len(one) == len(docs) and any(0 < s < 0.99 for r in one for s in r[2])
+    assert found() == one
+
+
 def joined(rows):
     words = re.compile(r"[^\x20\x09-\x0D]+").findall
     sets = []
