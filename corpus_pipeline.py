@@ -15,22 +15,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One row of each group of copies and near copies stays, whether its rows have ids or not."""
     return op05_jaccard.keep_one(docs, Scratch(spark))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    scratch = Scratch(spark)
-    hits = op04_decontaminate.find(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    held = scratch.save(hits.where("size(items) > 0 and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go, each by its own text, whatever its id."""
+    return op04_decontaminate.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking values are replaced in the texts; widely copied examples stay."""
-    _, live = op08_secrets.scan(docs, Scratch(spark))
-    return op08_secrets.redact(docs, live)
+    """Live-looking values are replaced in the texts, row by row, whatever the id; widely copied examples stay."""
+    return op08_secrets.redact(docs, Scratch(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

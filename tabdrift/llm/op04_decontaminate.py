@@ -262,6 +262,26 @@ def find(spark, docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col
     return keyed.select("row", "doc_id").join(merged, "row", "left").select("doc_id", of("items", "array<long>"), of("scores", "array<double>"))
 
 
+def clean(spark, docs: DataFrame, benchmark: DataFrame, text_col="text") -> DataFrame:
+    """The rows that hold no item, with all their columns. Each row is judged by its own text, whatever its id. With
+    more than one shard, what a shard leaves is written before the next one."""
+    scratch, at = Scratch(spark), docs.columns.index(text_col)
+    for k, (held, only) in enumerate(_indexes(spark, benchmark, scratch)):
+
+        def run(batches, held=held):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array([not held.value.hits(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        left = docs.mapInArrow(run, docs.schema)
+        if only:
+            return left
+        docs = scratch.save(left, f"left_{k}")
+        scratch.drop(f"left_{k - 1}")
+    return docs
+
+
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     hits = find(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return hits.select(

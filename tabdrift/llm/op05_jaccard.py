@@ -378,14 +378,16 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns; documents without shingles
-    stay, and so do those without an id. Rows that repeat an id are one document."""
-    found = scratch.save(components(docs, scratch).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    at = F.col("doc_id") == F.col("__kept")
-    ids = lambda rows: rows.select(F.col("doc_id").alias("__kept"))
-    out = docs.join(ids(found.where("count = 1")), at, "left_semi").unionByName(docs.where("doc_id is null"))
-    twice = found.where("count > 1")
-    return out if twice.isEmpty() else out.unionByName(docs.join(ids(twice), at, "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each component, that with the smallest id, with all its columns; rows without shingles stay. Rows are
+    known by a written key of their own, so ids may be null (those come last) or repeated: rows that share an id and
+    differ in text are judged apart."""
+    keyed = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    found = scratch.save(components(keyed, scratch, "__row").select(F.col("doc_id").alias("__row"), "component_id"), "found")
+    shared = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    held = found.join(shared, "component_id").join(keyed.select("__row", F.col("doc_id").alias("id")), "__row")
+    first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("first"))
+    copies = scratch.save(found.join(first, "component_id").where("__row <> first").select("__row"), "copies")
+    return keyed.join(copies, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ and distinct owners. A value that many owners carry is an example that was copie
 carries, and that doesn't look like a placeholder, is live-looking.
 
 Cases: a null text counts as empty; a null owner counts as an owner of its own; repeated rows of a document count once
-as a repository and each gets its result; an empty table gives no rows; other columns are ignored.
+as a repository; each row gets the result of its own text, also where ids are null or repeated; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,35 +88,41 @@ def ownership(found: DataFrame, max_owners: int = 1) -> DataFrame:
 
 
 def scan(docs: DataFrame, scratch: Scratch, id_col="doc_id", text_col="text", owner_col="source") -> tuple[DataFrame, DataFrame]:
-    """(spans of every document as doc_id, repo, owner, spans; live values by document as doc_id, live)."""
+    """(spans of every row as row, doc_id, repo, owner, spans; values by row, see judged). row is a written unique key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), text.alias("t"))
-    found = scratch.save(d.select("doc_id", F.col("doc_id").alias("repo"), "owner", spans_of(F.col("t")).alias("spans")), "spans")
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), text.alias("t"))
+    found = scratch.save(d.select("row", "doc_id", F.col("doc_id").alias("repo"), "owner", spans_of(F.col("t")).alias("spans")), "spans")
     return found, judged(found)
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Values of each document that carries any: doc_id, live and example as arrays of distinct values."""
+    """Values of each row that carries any: row, doc_id, live and example as arrays of distinct values."""
     held = found.where(F.size("spans") > 0)
-    each = held.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.value").alias("value")).distinct()
+    each = held.select("row", "doc_id", F.explode("spans").alias("s")).select("row", "doc_id", F.col("s.value").alias("value")).distinct()
     stats = ownership(held)
     named = each.withColumn("hash", F.xxhash64("value")).join(stats, "hash")
-    return named.groupBy("doc_id").agg(
+    return named.groupBy("row", "doc_id").agg(
         F.collect_list(F.when(F.col("live"), F.col("value"))).alias("live"),
         F.collect_list(F.when(~F.col("live"), F.col("value"))).alias("example"),
     )
 
 
-def redact(docs: DataFrame, live: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """docs with each live value replaced in text; n_chars follows. Longer values go first, so none is cut by another."""
-    names = docs.columns
+def redact(docs: DataFrame, scratch: Scratch, mark: str = "<secret>") -> DataFrame:
+    """docs with each live value replaced in text; n_chars follows. Longer values go first, so none is cut by another.
+
+    Only rows that may hold a candidate are written, with a key of their own, and joined by it; all others, with or
+    without an id, pass as they are."""
+    names, some = docs.columns, F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    keyed = scratch.save(docs.where(some).withColumn("__row", F.monotonically_increasing_id()), "candidates")
+    of = keyed.select(F.col("__row").alias("row"), "doc_id", F.col("doc_id").alias("repo"), F.col("source").cast("string").alias("owner"), spans_of(F.col("text")).alias("spans"))
+    live = judged(scratch.save(of, "spans"))
     values = F.array_sort(F.col("__live"), lambda a, b: F.length(b) - F.length(a))
-    held = docs.join(live.select(F.col("doc_id").alias("__id"), F.col("live").alias("__live")).where(F.size("__live") > 0), F.col("doc_id") == F.col("__id"), "left")
+    held = keyed.join(live.select(F.col("row").alias("__row"), F.col("live").alias("__live")).where(F.size("__live") > 0), "__row", "left")
     text = F.when(F.col("__live").isNull(), F.col("text")).otherwise(F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
     out = held.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    return docs.where(~some).unionByName(out.select(*[F.col(f"`{c}`") for c in names]))
 
 
 def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
@@ -123,10 +130,10 @@ def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind_no"] < BASE)
     rows = found.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        "row", "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(render(base), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"),
     )
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    live = live.select("doc_id", n("live").alias("n_live"), n("example").alias("n_example"))
+    live = live.select("row", n("live").alias("n_live"), n("example").alias("n_example"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(live, "doc_id", "left").select(*rows.columns, zero("n_live"), zero("n_example"))
+    return rows.join(live, "row", "left").select(*rows.columns[1:], zero("n_live"), zero("n_example"))

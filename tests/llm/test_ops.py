@@ -281,3 +281,28 @@ def test_pipeline(spark):
     left = sorted((i, docs[i]) for i in rules)
     left = {c for _, _, c in joined(left)}
     assert kept == {i for i in left if not items.hits(docs[i])}
+
+
+def test_pipeline_ids(spark, tmp_path, monkeypatch):
+    """Stages judge rows, not ids: null and repeated ids hold copies, benchmark items and secrets."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda n=40: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    items = [(i, text(20)) for i in range(8)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    copy, other, a, b, clean, clean_b, calm = (text() for _ in range(7))
+    secret = lambda k: f"{text()} password=Zx{k}Qw9Lm3Tr {text(3)}"
+    rows = [(None, copy), (1, copy), (None, copy), (None, other), (None, other), (2, a), (2, b), (None, f"{text()} {items[0][1]}"), (None, clean)]
+    rows += [(3, f"{text()} {items[7][1]}"), (3, clean_b), (None, secret(1)), (4, secret(2)), (4, calm), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"o{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    hidden = lambda t: t and re.sub("Zx.Qw9Lm3Tr", "<secret>", t)
+    want = sorted([(1, copy), (None, other), (2, a), (2, b), (None, clean), (3, clean_b), (None, hidden(rows[11][1])), (4, hidden(rows[12][1])), (4, calm), (None, None)], key=repr)
+    for most in (op04_decontaminate.SHARD_ITEMS, 3):
+        monkeypatch.setattr(op04_decontaminate, "SHARD_ITEMS", most)
+        out = docs
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            out = Scratch(spark).save(stage(spark, out, str(tmp_path)), name)
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == want
+        assert all(r.n_chars == len(r.text or "") for r in got) and out.columns == docs.columns
