@@ -318,8 +318,9 @@ def unique_anchors(spark, d):
   (SELECT row_b - row_a AS "offset", row_a, row_a - row_number() OVER (PARTITION BY row_b - row_a, row_a // 100000 ORDER BY row_a) AS g, row_a // 100000 AS blk FROM anchors)
   GROUP BY "offset", blk, g HAVING count(*) > 1""")
 def offset_islands(spark, d):
-    found = unique_anchors(spark, d).select((F.col("row_b") - F.col("row_a")).alias("offset"), F.floor(F.col("row_a") / 100_000).alias("blk"), "row_a")
-    return grid.islands(found, ["offset", "blk"], "row_a").where("n > 1").drop("blk")
+    # the SQL cuts runs at every 100,000th row; here they are whole, so the two differ where a run crosses such an edge
+    found = unique_anchors(spark, d).select((F.col("row_b") - F.col("row_a")).alias("offset"), "row_a")
+    return grid.joined_islands(found, ["offset"], "row_a", 100_000).where("n > 1")
 
 
 @query(f"""WITH {_UNIQ} SELECT sig, a.row_a, b.row_b FROM (SELECT sig, min(r) AS row_a FROM ua WHERE r NOT IN (SELECT r FROM ub) GROUP BY sig HAVING count(*) = 1) a

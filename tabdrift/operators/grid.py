@@ -32,6 +32,18 @@ def islands(df: DataFrame, group: list[str], at: str) -> DataFrame:
     return marked.groupBy(*group, "__island").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("__island")
 
 
+def joined_islands(df: DataFrame, group: list[str], at: str, block: int) -> DataFrame:
+    """islands, but a long group is ordered by blocks of rows: runs that touch a block's edge are joined afterwards."""
+    blocks = df.withColumn("__block", F.floor(F.col(at) / block))
+    parts = islands(blocks, [*group, "__block"], at).drop("__block")
+    open_ = (F.pmod("first", F.lit(block)) == 0) | (F.pmod(F.col("last") + 1, F.lit(block)) == 0)
+    w = Window.partitionBy(*group).orderBy("first")  # at most two runs for each block
+    new = F.coalesce((F.col("first") != F.lag("last").over(w) + 1).cast("int"), F.lit(1))
+    marked = parts.where(open_).withColumn("__new", new).withColumn("__run", F.sum("__new").over(w))
+    whole = marked.groupBy(*group, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("__run")
+    return parts.where(~open_).unionByName(whole)
+
+
 def runs(df: DataFrame, group: list[str], at: str, value: str) -> DataFrame:
     """Runs of equal consecutive values in the order of at: group, value, first, last, n."""
     w = Window.partitionBy(*group).orderBy(at)
