@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, let
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key from its header to its END line; where that is missing, header lines and the lines of base64 after it.
+PEM = (
+    r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:[\r\n]+[A-Za-z-]+: [^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:[\r\n]+[A-Za-z0-9+/=]+(?=[\r\n]|\z))?))"
+)
 #: kind, pattern, group that holds the value, least length of the value. The first three are the base.
 KINDS = (
     ("assign", ASSIGN, 2, 8),
     ("access", r"(AKIA[A-Z0-9]+)", 1, 16),
     ("hex", r"([0-9a-f]+)", 1, 32),
-    ("pem", r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)", 1, 0),
+    ("pem", PEM, 1, 0),
     ("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 0),
     ("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 0),
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0),
@@ -31,6 +36,8 @@ BASE = 3
 #: A text that matches nothing here has no candidate of any kind: one scan for nearly all documents.
 ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|PRIVATE KEY-----|gh[pousr]_|xox[abprs]-|eyJ"
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your[_-]|^(.)\1+$|^x{4,}|^0+$|^1234"
+#: A header without base64 after it is a mention of a key, not one.
+NO_KEY = r"^-----BEGIN (?![\s\S]*[A-Za-z0-9+/=]{16})"
 _SPANS = "array<struct<start:int,kind_no:int,end:int,value:string>>"
 
 
@@ -79,7 +86,7 @@ def ownership(found: DataFrame, max_owners: int = 1) -> DataFrame:
     Distinct (hash, owner) and (hash, repo) pairs come first, with map-side combining, so a value that a third of the
     corpus carries is merged before it is shuffled, and no task holds a value's whole list."""
     each = found.select("repo", F.coalesce("owner", F.lit("\u0000")).alias("owner"), F.explode("spans").alias("s")).select(
-        F.xxhash64("s.value").alias("hash"), "repo", "owner", F.col("s.value").rlike(PLACEHOLDER).alias("dummy")
+        F.xxhash64("s.value").alias("hash"), "repo", "owner", (F.col("s.value").rlike(PLACEHOLDER) | F.col("s.value").rlike(NO_KEY)).alias("dummy")
     )
     pairs = each.groupBy("hash", "repo").agg(F.max("dummy").alias("dummy"))
     repos = pairs.groupBy("hash").agg(F.count("*").alias("n_repos"), F.max("dummy").alias("dummy"))
