@@ -5,7 +5,8 @@ wins. Urls that no rule fits get the method's verdict: redirect and canonical-li
 distributed connected components, and a class with a blocked url and no explicitly allowed one is blocked as a whole.
 
 Cases: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; a null page text has
-no links; links that can't be resolved to a host are left out; repeated pages each get a row; an empty table gives no
+no links; relative links are resolved against the page's <base> or url, and those without a host (mailto: and such) are left
+out; repeated pages each get a row; an empty table gives no
 rows; without edges every class is a single url.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, let
 
 #: (rule, verdict); a rule is a host, then a path from its first slash.
 RULES = (
@@ -57,23 +58,65 @@ def node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, tail))
 
 
+def decoded(c: Column) -> Column:
+    """Character references of HTML that urls hold: the named ones of markup, and numbers."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+
+    def put(text: Column, ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"([0-9A-Fa-f]+);", 1)
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        return F.when(valid, F.replace(text, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(text)
+
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)"), F.lit(1)))
+    return F.replace(F.aggregate(refs, c, put), F.lit("&amp;"), F.lit("&"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
+
+
 def links(html: Column) -> Column:
-    """Targets of canonical links and of refresh redirects in a page."""
-    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    """Targets of canonical links and of refresh redirects in a page; attributes stand in any order."""
     canonical = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
-    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*?url\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
-    found = F.concat(F.transform(canonical, lambda t: attribute(t, "href")), refresh)
+    refresh = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1))
+    after = lambda t: F.regexp_extract(t, r"(?is)\bcontent\s*=.*?url\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    found = F.concat(F.transform(canonical, lambda t: decoded(_attribute(t, "href"))), F.transform(refresh, lambda t: decoded(after(t))))
     return F.when(html.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"), found)
 
 
+def base_of(url: Column, html: Column) -> Column:
+    """What a page's relative links are resolved against: its <base>, else its own url."""
+    href = decoded(_attribute(F.regexp_extract(html, r"(?is)(<base\b[^>]*\bhref\b[^>]*>)", 1), "href"))
+    return F.when(html.rlike(r"(?i)<base\b"), F.coalesce(let(href, lambda t: resolve(url, t)), url)).otherwise(url)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from its first slash, with its . and .. segments worked out."""
+    step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    segments = let(F.split(path, "/", -1), lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.array().cast("array<string>"), step))
+    end = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return let(segments, lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, end).otherwise(F.lit(""))))
+
+
 def resolve(base: Column, target: Column) -> Column:
-    """An absolute url for a link: absolute, scheme-relative or from the host's root; others are null."""
+    """An absolute url for a link, by the rules of RFC 3986; null for other schemes, and for a base without a host."""
     scheme = F.substring_index(base, "://", 1)
-    host, _ = parts(base)
+    host, path = parts(base)
+    root = F.concat(scheme, F.lit("://"), host)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substr(target, F.length(own) + 1)
+    query = F.regexp_extract(F.substr(base, F.length(scheme) + 4), r"(?s)^[^/?#]*[^?#]*([^#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (host == ""), None)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), F.concat(root, path, query, target))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), rest))
     )
 
 
@@ -82,8 +125,8 @@ def judge(pages: DataFrame, scratch: Scratch, redirects: DataFrame | None = None
     url = F.col(url_col)
     host, path = parts(url)
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    cols = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"), links(F.col(html_col)).alias("links"))
-    found = cols.where("size(links) > 0").select("url", F.explode("links").alias("l")).select("url", resolve(F.col("url"), F.col("l")).alias("target"))
+    cols = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"), links(F.col(html_col)).alias("links"), F.col(html_col).alias("html"))
+    found = cols.where("size(links) > 0").select("url", base_of(F.col("url"), F.col("html")).alias("base"), F.explode("links").alias("l")).select("url", let(F.col("base"), lambda b: resolve(b, F.col("l"))).alias("target"))
     if redirects is not None:
         found = found.union(redirects.select("source", "target"))
     ends = found.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")).where("a is not null and b is not null and a <> b")

@@ -97,6 +97,27 @@ def test_redirects(spark):
     assert op03_url_filters.judge(df.where("false"), Scratch(spark)).count() == 0
 
 
+def test_links(spark):
+    """Relative targets, meta tags in either order, and character references."""
+    from urllib.parse import urljoin
+
+    bases = ["http://a.org", "http://a.org/", "http://a.org/x/y/z.html?q=1", "https://a.org/x/y/"]
+    targets = ["b.html", "./b", "../b", "../../../b/./c/..", "?id=3", "/p/../q?x=/../y", "//b.org/k", "http://c.org/d", "/go?u=http://c.org/", "d/", ".", "..", "b?x=../y#f"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    for r in df.select("b", "t", op03_url_filters.resolve(df.b, df.t).alias("u")).collect():
+        assert r.u == urljoin(r.b, r.t), (r, urljoin(r.b, r.t))
+    other = spark.createDataFrame([("http://a.org/", "mailto:x@a.org"), ("http://a.org/", ""), ("nothing", "b")], "b string, t string")
+    assert {r[0] for r in other.select(op03_url_filters.resolve(other.b, other.t)).collect()} == {None}
+    pages = [
+        (1, "http://b.net/es/1?a=1&b=2", ""), (2, "http://a.org/x/1", "<link rel=canonical href='http://b.net/es/1?a=1&amp;b=2'>"),
+        (3, "http://a.org/x/2", '<meta content="0;url=1" http-equiv=refresh>'), (4, "http://a.org/y/3", "<link href='../x/2' rel='canonical'>"),
+        (5, "http://a.org/y/4?id=9", '<meta http-equiv="refresh" content="0; url=3">'), (6, "http://a.org/y/4", "<link rel=canonical href='?id=9'>"),
+        (7, "http://f.org/", "<base href='http://a.org/y/'><link rel=canonical href='4&#x3f;id&#61;9'>"), (8, "http://g.org/", "<meta content='0;url=1' name=refresh>"),
+    ]
+    got = op03_url_filters.judge(spark.createDataFrame(pages, "page_id int, url string, html string"), Scratch(spark)).collect()
+    assert {r.page_id: r.verdict for r in got} == {**dict.fromkeys(range(1, 8), "block"), 8: "allow"}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100) if i % 25 != 24] + [(300, 300), (7, 1000), (1000, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
