@@ -2,8 +2,9 @@
 shunting-yard parser evaluates the and/or/with expressions that follow a tag.
 
 Cases: a null or empty text has no words, no label and score 0; texts are scanned whole; overlapping phrases all count;
-a malformed expression gives the labels of the names in it; repeated rows each get a row; an empty table gives no rows;
-other columns are ignored.
+only licence identifiers give labels of an expression, words of prose and NOASSERTION never; a malformed expression
+gives the labels of the identifiers in it; repeated rows each get a row; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +37,37 @@ BASE_WEIGHT, TAG_WEIGHT = 0.6, 0.9
 TAG = "spdx license identifier"
 _TAG = re.compile(r"SPDX-License-Identifier[\x20\t]*:[\x20\t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
-#: Prefix of an identifier in lower case and its label.
-FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("mpl", "mpl"), ("epl", "epl"), ("bsd", "bsd"), ("0bsd", "bsd"), ("isc", "isc"), ("bsl", "bsl"), ("cc-by", "cc-by"))
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "cc-by"}
+#: Licence identifiers in lower case, as patterns by family, and the family's label.
+KNOWN = tuple(
+    (re.compile(pattern), label)
+    for pattern, label in (
+        (r"mit(-0|-cmu|-feh|-enna|-wu|-advertising|-modern-variant)?", "mit"),
+        (r"apache(-1\.[01]|-2\.0)?\+?", "apache"),
+        (r"agpl(-[13]\.0)?(\+|-only|-or-later)?", "agpl"),
+        (r"lgpl(-2\.[01]|-3\.0)?(\+|-only|-or-later)?", "lgpl"),
+        (r"gpl(-[123]\.0)?(\+|-only|-or-later|-with-[a-z0-9.-]+)?", "gpl"),
+        (r"mpl(-1\.[01]|-2\.0(-no-copyleft-exception)?)?\+?", "mpl"),
+        (r"epl(-[12]\.0)?", "epl"),
+        (r"0bsd|bsd(-[1-4]-clause(-[a-z-]+)?)?", "bsd"),
+        (r"isc|bsl-1\.0|zlib|x11|ncsa|unlicense|wtfpl|postgresql|curl|libpng|openssl|vim|ruby|hpnd|icu", ""),
+        (r"cc0-1\.0|cc-by-(nc-)?(sa-|nd-)?[1-4]\.0|cc-by(-sa|-nc|-nd|-nc-sa|-nc-nd)?", ""),
+        (r"(artistic|python|psf|afl|cddl|cpl|ecl|eupl|ofl|osl|upl|php|zpl|cecill|busl|sspl)-[0-9]+(\.[0-9]+)*", ""),
+        (r"ms-(pl|rl)|licenseref-[a-z0-9.-]+|documentref-[a-z0-9.-]+:licenseref-[a-z0-9.-]+", ""),
+    )
+)
+#: What may stand right of with.
+EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|bison-exception-2\.2|llvm-exception|linux-syscall-note|ocaml-lgpl-linking-exception", re.I)
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl-1.0", "cc-by", "cc0-1.0", "zlib", "x11", "ncsa", "unlicense", "postgresql", "curl", "libpng"}
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def label_of(name: str) -> str:
+def label_of(name: str) -> str | None:
+    """The label of a licence identifier; None for what isn't one. Creative commons ones share cc-by but for cc0."""
     low = name.lower()
-    return next((label for prefix, label in FAMILIES if low == prefix or low.startswith((prefix + "-", prefix + "+"))), low)
+    for pattern, label in KNOWN:
+        if pattern.fullmatch(low):
+            return label or ("cc-by" if low.startswith("cc-by") else low)
+    return None
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -87,22 +110,23 @@ def to_postfix(expression: str) -> list[str]:
 
 def evaluate(expression: str) -> tuple[set[str], bool]:
     """Labels of an expression, and whether its terms can all be met by permissive licences."""
-    stack: list[tuple[set[str], bool]] = []
+    stack: list[tuple[set[str], bool, str | None]] = []  # labels, permissive, and the name where it is a single one
     try:
         for token in to_postfix(expression):
-            if token in RANK:
+            if token.lower() in RANK:
                 right, left = stack.pop(), stack.pop()
                 if token == "with":
-                    stack.append(left)  # the exception widens what stands left; it is no licence itself
+                    if right[2] is None or left[2] is None or not EXCEPTION.fullmatch(right[2]):
+                        raise ValueError(expression)
+                    stack.append((left[0], left[1], None))  # the exception widens what stands left; it is no licence itself
                 else:
-                    stack.append((left[0] | right[0], (left[1] or right[1]) if token == "or" else (left[1] and right[1])))
+                    stack.append((left[0] | right[0], (left[1] or right[1]) if token == "or" else (left[1] and right[1]), None))
             else:
                 label = label_of(token)
-                stack.append(({label}, label in PERMISSIVE))
+                stack.append(({label} if label else set(), label in PERMISSIVE, token))
     except ValueError:
-        names = {label_of(t) for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in RANK}
-        return names, False
-    return stack[-1] if stack else (set(), False)
+        return {label for t in _TOKEN.findall(expression) if (label := label_of(t))}, False
+    return stack[-1][:2] if stack else (set(), False)
 
 
 @cache
