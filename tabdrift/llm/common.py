@@ -34,18 +34,28 @@ def trim() -> None:
         pass
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of these equals, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables that cut lineage. They lie in the folder that spark.checkpoint.dir names, which all executors
-    share, so a lost executor costs at most one stage. Only where that is unset (tests on one machine) a temporary
-    folder is used."""
+    share, so a lost executor costs at most one stage. Only where that is unset and Spark runs on this machine alone (tests), a
+    temporary folder is used. Python workers get batches of at most 1,000 rows in the whole session, as texts are long."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not (spark.sparkContext.master or "").startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="scratch-")
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts and sets are long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -70,7 +80,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", mo
 
     Returns (node, component), component being the smallest node of the class; nodes without an edge to another node
     don't appear. Each step aggregates with map-side combining and joins back on the node, so a node with very many
-    neighbours needs no single task; every round is a written table. Self loops and null ends are ignored.
+    neighbours needs no single task; every round is a written table. Self loops and null ends are ignored. Rounds grow
+    with the logarithm of a class's length; should most of them not do, the result would be wrong, so that is an error.
     """
     now = scratch.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}_0"
@@ -93,6 +104,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", mo
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"components have not settled in {most} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

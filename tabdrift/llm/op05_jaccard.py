@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, trim, utf8
+from .common import Scratch, connected_components, fresh, trim, utf8
 
 WORDS = 5
 #: Counters of the sketch that orders shingles, and how it is cut for summing.
@@ -381,13 +381,15 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One row of each component, that with the smallest id, with all its columns; rows without shingles stay. Rows are
     known by a written key of their own, so ids may be null (those come last) or repeated: rows that share an id and
     differ in text are judged apart."""
-    keyed = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    found = scratch.save(components(keyed, scratch, "__row").select(F.col("doc_id").alias("__row"), "component_id"), "found")
+    row = fresh("__row", docs.columns)
+    keyed = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = scratch.save(components(keyed, scratch, row).select(F.col("doc_id").alias("row"), "component_id"), "found")
     shared = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    held = found.join(shared, "component_id").join(keyed.select("__row", F.col("doc_id").alias("id")), "__row")
-    first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row"))["__row"].alias("first"))
-    copies = scratch.save(found.join(first, "component_id").where("__row <> first").select("__row"), "copies")
-    return keyed.join(copies, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    held = found.join(shared, "component_id").join(ids, "row")
+    first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("first"))
+    copies = scratch.save(found.join(first, "component_id").where("row <> first").select(F.col("row").alias(row)), "copies")
+    return keyed.join(copies, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
