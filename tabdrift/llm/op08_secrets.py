@@ -4,6 +4,8 @@ Candidates are found by patterns; each candidate's hash is then counted over the
 and distinct owners. A value that many owners carry is an example that was copied around; one that a single owner
 carries, and that doesn't look like a placeholder, is live-looking.
 
+A value is known by 64 bits of its hash. max_owners is the most owners that a live value may have.
+
 Cases: a null text counts as empty; a null owner counts as an owner of its own; repeated rows of a document count once
 as a repository; each row gets the result of its own text, also where ids are null or repeated; an empty table gives no
 rows; other columns are ignored.
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, fresh, let
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A private key from its header to its END line; where that is missing, header lines and the lines of base64 after it.
@@ -30,7 +32,7 @@ KINDS = (
     ("pem", PEM, 1, 0),
     ("github", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, 0),
     ("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 0),
-    ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0),
+    ("jwt", r"((?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", 1, 0),
 )
 BASE = 3
 #: A text that matches nothing here has no candidate of any kind: one scan for nearly all documents.
@@ -120,15 +122,16 @@ def redact(docs: DataFrame, scratch: Scratch, mark: str = "<secret>") -> DataFra
     Only rows that may hold a candidate are written, with a key of their own, and joined by it; all others, with or
     without an id, pass as they are."""
     names, some = docs.columns, F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    keyed = scratch.save(docs.where(some).withColumn("__row", F.monotonically_increasing_id()), "candidates")
-    of = keyed.select(F.col("__row").alias("row"), "doc_id", F.col("doc_id").alias("repo"), F.col("source").cast("string").alias("owner"), spans_of(F.col("text")).alias("spans"))
+    row, mine = fresh("__row", names), fresh("__live", names)
+    keyed = scratch.save(docs.where(some).withColumn(row, F.monotonically_increasing_id()), "candidates")
+    of = keyed.select(F.col(row).alias("row"), "doc_id", F.col("doc_id").alias("repo"), F.col("source").cast("string").alias("owner"), spans_of(F.col("text")).alias("spans"))
     live = judged(scratch.save(of, "spans"))
-    values = F.array_sort(F.col("__live"), lambda a, b: F.length(b) - F.length(a))
-    held = keyed.join(live.select(F.col("row").alias("__row"), F.col("live").alias("__live")).where(F.size("__live") > 0), "__row", "left")
-    text = F.when(F.col("__live").isNull(), F.col("text")).otherwise(F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
+    values = F.array_sort(F.col(mine), lambda a, b: F.length(b) - F.length(a))
+    held = keyed.join(live.select(F.col("row").alias(row), F.col("live").alias(mine)).where(F.size(mine) > 0), row, "left")
+    text = F.when(F.col(mine).isNull(), F.col("text")).otherwise(F.aggregate(values, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
     out = held.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(mine).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return docs.where(~some).unionByName(out.select(*[F.col(f"`{c}`") for c in names]))
 
 
@@ -138,9 +141,9 @@ def op8_secret_scans(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind_no"] < BASE)
     rows = found.select(
         "row", "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(render(base), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"),
+        F.sha2(render(base), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"), F.col("spans").alias("all"),
     )
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    live = live.select("row", n("live").alias("n_live"), n("example").alias("n_example"))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(live, "row", "left").select(*rows.columns[1:], zero("n_live"), zero("n_example"))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(f"n_{c}")
+    of = lambda c: F.coalesce(render(F.filter("all", lambda s: F.array_contains(c, s["value"]))), F.lit("")).alias(f"{c}_spans")
+    out = rows.join(live.drop("doc_id"), "row", "left")
+    return out.select(*rows.columns[1:-1], n("live"), n("example"), of("live"), of("example"))
