@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabdrift.llm import (
     op01_license, op02_chat_format, op03_url_filters, op04_decontaminate, op05_jaccard, op06_suffix_dedup, op07_quality_model, op08_secrets,
@@ -55,11 +57,17 @@ def test_licenses():
         assert got[:4] == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
     assert op01_license.evaluate("(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0") == ({"mit", "apache", "gpl"}, False)
     assert op01_license.evaluate("GPL-2.0 OR MIT")[1] and not op01_license.evaluate("MIT AND GPL-2.0")[1]
-    assert op01_license.evaluate("(MIT OR")[0] == {"mit"}
+    assert op01_license.evaluate("(MIT OR")[0] == op01_license.evaluate("(MIT or the other one")[0] == {"mit"}
+    for prose in ("see the LICENSE file", "NOASSERTION", "NONE", "", "of this file"):
+        assert op01_license.evaluate(prose) == (set(), False)
+    assert op01_license.evaluate("GPL-2.0 WITH (MIT OR Apache-2.0)") == ({"gpl", "mit", "apache"}, False)  # malformed: names only
+    assert op01_license.evaluate("gpl-2.0-only with Classpath-exception-2.0 or LicenseRef-own") == ({"gpl", "licenseref-own"}, False)
+    assert op01_license.scan("// SPDX-License-Identifier: see the file")[5] == "" and op01_license.scan("SPDX-License-Identifier: BSD-3-Clause */")[5] == "bsd"
 
 
 def test_licenses_awkward(awkward):
     assert op01_license.scan_licenses(awkward).count() == len(AWKWARD)
+    assert op01_license.scan_licenses(awkward.where("false")).count() == 0
 
 
 def test_chat_layouts(spark):
@@ -67,21 +75,44 @@ def test_chat_layouts(spark):
         '{"prompt":"p","completion":"c"}': [("user", "p"), ("assistant", "c")],
         '{"messages":[{"role":"system","content":"s"}]}': [("system", "s")],
         '{"conversations":[{"from":"human","value":"v"}]}': [("user", "v")],
+        '{"messages":[{"role":"s","content":"x","name":"n"},{"role":"q","content":null,"m":{"a":1,"b":[{"c":2}]}}],"id":3}': [("s", "x"), ("q", "")],
+        '{"messages":[]}': [], '{"messages":[{"role":"a","content":[{"type":"text","text":"hi"},{"text":"yo"}]}]}': [("a", "hiyo")],
+        '{"a-b":[1],"we ird":{"x":{"y":{}}},"question":"q","answer":"w"}': [("user", "q"), ("assistant", "w")],
         '{"zz":1}': None, "no json": None, None: None,
     }
     for payload, turns in cases.items():
         got = op02_chat_format.canonical(spark, spark.createDataFrame([(1, payload)], "conv_id int, payload string"), "payload").first().turns
         assert (None if got is None else [tuple(t) for t in got]) == turns
+    held = spark.createDataFrame([(1, p) for p in cases], "conv_id int, payload string")
+    assert {r.paths: r["count"] for r in op02_chat_format.unmapped(held, "payload").collect()} == {"OBJECT<>": 1, None: 2}
+    v = spark.createDataFrame([(e,) for e, _ in op02_chat_format.MAPPINGS], "e string").selectExpr("e", "parse_json(e) as v")
+    for r in v.select("e", op02_chat_format.fingerprint(op02_chat_format.paths_of(v.v)).alias("p")).collect():
+        assert r.p == op02_chat_format.print_of(op02_chat_format.paths(json.loads(r.e)))
+
+
+def test_chat_tables(spark):
+    """Row layouts by fingerprint, whatever other columns stand beside; null turns first; an empty table gives nothing."""
+    rows = [(1, 2, "b", "y", 0), (1, None, "a", "x", 0), (1, 2, "b", "y", 0), (2, 1, None, None, 0)]
+    want = {1: [("a", "x"), ("b", "y"), ("b", "y")], 2: [("", "")]}
+    for k, t, r, x in op02_chat_format.ROW_LAYOUTS:
+        df = spark.createDataFrame(rows, f"{k} long, `{t}` long, `{r}` string, {x} string, turns int")
+        assert {c.conv_id: [tuple(t) for t in c.turns] for c in op02_chat_format.canonical(spark, df).collect()} == want
+        assert op02_chat_format.canonical(spark, df.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        op02_chat_format.canonical(spark, df.drop("value"))
 
 
 def test_chat_round_trip(spark):
     odd = ["\\b<turn role=\"x\">\n</turn>", "\\", "#<\\l", None, '">\n', "\U0001f600<"]
+    roles = ['a">\nb', '"', "\\q\\n\n", "\\"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["user", "assistant"] * 3, odd))] + [(2, None, None, "x"), (2, 0, 'a">b', "y")]
+    rows += [(3, k, r, f"{k}\n") for k, r in enumerate(roles)]
     turns = op02_chat_format.canonical(spark, spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
     back = {r.conv_id: r for r in op02_chat_format.read_back(op02_chat_format.format_turns(turns)).collect()}
     assert [tuple(t) for t in back[1].turns] == [(r, t or "") for _, _, r, t in rows[:6]]
     assert back[1].loss_texts == [t or "" for t in odd[1::2]]
     assert [tuple(t) for t in back[2].turns] == [("", "x"), ('a">b', "y")]
+    assert [tuple(t) for t in back[3].turns] == [(r, f"{k}\n") for k, r in enumerate(roles)]
 
 
 def test_redirects(spark):
@@ -122,6 +153,8 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100) if i % 25 != 24] + [(300, 300), (7, 1000), (1000, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {**{i: i // 25 * 25 for i in range(100)}, 1000: 0}
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long"), Scratch(spark), most=2)
 
 
 def test_wand():
@@ -205,6 +238,9 @@ def test_jaccard(spark, texts):
 def test_jaccard_keeps_one(spark, awkward):
     got = sorted((r.doc_id for r in op05_jaccard.keep_one(awkward, Scratch(spark)).collect() if r.doc_id is not None))
     assert got == [1, 2, 3, 4, 6, 7, 8]
+    named = awkward.withColumnRenamed("node", "__row").withColumnRenamed("n", "component_id")
+    kept = op05_jaccard.keep_one(named, Scratch(spark))
+    assert kept.columns == named.columns and kept.count() == len(AWKWARD) - 2
 
 
 def cut(rows):
@@ -257,6 +293,20 @@ def test_secrets(spark):
     assert by[6].example == ["shared99"] and not by[6].live and by[5].live == ["ab" * 20] and 0 not in by
 
 
+def test_secret_spans(spark, awkward):
+    """Live and example spans, tokens in long runs in linear time, null owners, repeated rows, clashing names, no rows."""
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM"
+    rows = [(1, f"x {jwt} y", None), (1, f"x {jwt} y", None), (2, "eyJ" * 20_000, "b"), (3, "token=Qw9Lm3TrZx", "c"), (4, "token=Qw9Lm3TrZx", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__row", F.lit(1)).withColumn("__live", F.lit(2))
+    found, live = op08_secrets.scan(docs, Scratch(spark))
+    assert sorted(len(r.spans) for r in found.collect()) == [0, 1, 1, 1, 1]
+    assert sorted((r.doc_id, r.live, r.example) for r in live.collect()) == [(1, [jwt], [])] * 2 + [(3, [], ["Qw9Lm3TrZx"]), (4, [], ["Qw9Lm3TrZx"])]
+    out = op08_secrets.redact(docs, Scratch(spark))
+    assert out.columns == docs.columns and sorted(r.text for r in out.where("doc_id = 1").collect()) == ["x <secret> y"] * 2
+    assert op08_secrets.redact(docs.where("false"), Scratch(spark)).count() == 0
+    assert sorted(r.text or "" for r in op08_secrets.redact(awkward, Scratch(spark)).collect()) == sorted(t or "" for _, t in AWKWARD)
+
+
 def test_private_keys(spark):
     """A key is the whole block: two owners' keys are both live, one key of two owners is not, and redaction leaves nothing."""
     rng = random.Random(7)
@@ -284,6 +334,11 @@ def test_ledger_awkward(spark, awkward):
     assert kept.columns == awkward.columns and kept.count() == 0
     total = op09_quality_rules.ablation(op09_quality_rules.ledger(awkward)).collect()
     assert {r.rule for r in total} == set(op09_quality_rules.BIT)
+    masks = [r.failed for r in op09_quality_rules.ledger(awkward).collect()]
+    for r in total:
+        bit = op09_quality_rules.BIT[r.rule]
+        assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(m & bit > 0 for m in masks), masks.count(bit), sum(m & ~bit == 0 for m in masks))
+    assert op09_quality_rules.ledger(awkward.where("false")).count() == op09_quality_rules.keep(awkward.where("false")).count() == 0
 
 
 def test_packing(spark, texts):
@@ -309,6 +364,18 @@ def test_packing(spark, texts):
             at += length
         assert at <= 4096
     assert len(bins) <= sum(r.length for r in got) / 4096 * 1.02 + 1
+    none = spark.createDataFrame([], "doc_id long, text string, piece int, length string")
+    assert op10_packing.pack(scratch.save(op10_packing.pieces(none), "none"), scratch).count() == 0
+
+
+def test_encoder():
+    """Ids of odd texts are the tokenizer's own, also where memories are emptied on the way."""
+    encode = op10_packing.Encoder(op10_packing.vocabulary())
+    rng = random.Random(8)
+    near = lambda: chr(rng.choice([rng.randrange(1, 0x80), rng.randrange(1, 0x500), rng.randrange(0x2000, 0x3100), 0x301]))
+    odd = ["<|endoftext|> It's \u0130 \u01c5 x\x1cx a\x85b", "x<|startoftext|>y <|ENDOFTEXT|> <| |>", "IT'S it\u2019s ,'s", " ".join(map(chr, range(1, 0x3000, 7)))]
+    for text in odd + ["".join(near() for _ in range(40)) for _ in range(200)]:
+        assert encode([text])[0].tolist() == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_pipeline(spark):
