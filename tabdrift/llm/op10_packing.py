@@ -13,6 +13,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -22,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, trim, utf8
 
 CAPACITY, END = 4096, 1
-#: Chunks, and words, whose ids a worker remembers; each memory is emptied when it is full.
+_END = struct.pack("<I", END)
+#: The pre-tokenizer's pattern for lower-cased printable ASCII.
+_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+_PRINTABLE = re.compile(rb"[!-~]+").fullmatch
+#: Chunks, and pieces, whose ids a worker remembers; each memory is emptied when it is full.
 REMEMBERED = 1_000_000
 _state: dict = {}
 
@@ -33,55 +39,60 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
+class _Pieces(dict):
+    """Ids, as bytes, of the pieces that the tokenizer's pattern cuts texts into, by their normalized text."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.cut = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = [piece] if piece.isascii() else [p for p, _ in self.cut(piece)]  # the model's byte alphabet
+        ids = [t.id for p in letters for t in self.model.tokenize(p)]
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class Encoder(dict):
     """Ids of whole texts. The tokenizer drops white space and never looks across it, so a text's ids are those of its
-    chunks between ASCII white space, one after another; chunks met before aren't encoded again. A chunk of Latin
-    letters is put together from its words and marks, as the tokenizer's own pattern splits it, so that a word is
-    encoded once for all its cases and punctuation."""
+    chunks between ASCII white space, one after another; each chunk is remembered with its ids. A new chunk of Latin
+    letters is put together from its pieces, as the tokenizer's own pattern cuts it, so that the tokenizer's model sees
+    a piece once for all its cases and punctuation; other chunks go through the whole tokenizer."""
 
     def __init__(self, path: str):
+        super().__init__()
         import json
-        import os
 
         import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = _Pieces(self.tokenizer)
         with open(path) as f:
             pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
-
-    def cut(self, chunk: bytes) -> list[str]:
-        import unicodedata
-
-        text = chunk.decode("utf-8", "replace")
-        if "<|" in text or not text.isascii() and (max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text)):
-            return [text]  # special strings, and what lower-cases or composes in other ways, go as they are
-        return self.split(text.lower())
+        self.cut = regex.compile(pattern).findall
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        low = chunk.lower()
+        if low.isalpha():
+            ids = self.pieces[low.decode()]
+        elif b"<|" not in low and _PRINTABLE(low):
+            ids = b"".join([self.pieces[p.decode()] for p in _ASCII_PIECES(low)])
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if max(text) < "\u0250" and "\u0130" not in text and text.isprintable() and "<|" not in text:
+                ids = b"".join([self.pieces[p] for p in self.cut(text.lower())])  # composed already; one letter for one
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
+        self[chunk] = ids
+        return ids
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        known, parts = self.known, self.parts
-        chunks = [utf8(t).split() for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(parts) > REMEMBERED:
-            parts.clear()
-        found = [list(map(known.get, one)) for one in chunks]
-        short = [k for k, ids in enumerate(found) if None in ids]
-        new = {c: self.cut(c) for c in {c for k in short for c, ids in zip(chunks[k], found[k]) if ids is None}}
-        lacking = list({p for cut in new.values() for p in cut if p not in parts})
-        for i in range(0, len(lacking), 10_000):
-            some = lacking[i : i + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                parts[p] = np.array(e.ids, "<u4").tobytes()
-        for c, cut in new.items():
-            known[c] = b"".join([parts[p] for p in cut])
-        for k in short:
-            found[k] = list(map(known.__getitem__, chunks[k]))
-        end = np.array([END], "<u4").tobytes()
-        return [np.frombuffer(b"".join([*ids, end]), "<u4") for ids in found]
+        for memory in (self, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        return [np.frombuffer(b"".join([*map(self.__getitem__, utf8(t).split()), _END]), "<u4") for t in texts]
 
 
 def encoder(path: str) -> Encoder:
