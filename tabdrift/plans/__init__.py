@@ -1,0 +1 @@
+"""Whole diffs as declarative plans over cells, objects and documents."""
