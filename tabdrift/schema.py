@@ -18,7 +18,7 @@ ORDER = ["pair_id", "phase", "sheet_ord", "grp", "s1", "s2", "kind"]
 
 def ops(df: DataFrame, **values: Column) -> DataFrame:
     """df as operations: the columns given here or found in df, the rest null."""
-    have = set(df.columns)
+    have = {n for n, kind in df.dtypes if n not in ("old", "new") or not kind.startswith("struct")}
     pick = lambda n: values[n] if n in values else F.col(n) if n in have else F.lit(None)
     return df.select(*[pick(n).cast(kind).alias(n) for n, kind in OPS])
 

@@ -1,7 +1,8 @@
 """Workbooks (zipped XML packages) as tables of sheets, cells, defined names, charts and part fingerprints.
 
-Executors parse whole files, one at a time, and stream the cells out in batches; nothing is gathered at the driver.
-A file that breaks a limit or isn't a workbook gives one row of kind "error" instead of failing the job."""
+Executors parse whole files, one at a time, twice: once to see that all of it can be read, then to stream the cells out
+in batches, so memory doesn't grow with a sheet; nothing is gathered at the driver. A file that breaks a limit or can't be
+read gives one row of kind "error", and nothing else, instead of failing the job."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ SCHEMA = (
     "path string, kind string, sheet string, sheet_id long, position int, row long, col int, vkind string, num double, txt string, flag boolean, "
     "formula string, name string, refers_to string, chart_type string, hash string, size long"
 )
+_NUMBER = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?(inf|infinity|nan)", re.I)
 _PLACE = re.compile(r"\$?([A-Za-z]{1,3})\$?([0-9]+)$")
 #: Fixed: a sheet's name with one of these is quoted in front of a name.
 _QUOTED = set(" '!,;[]()")
@@ -53,25 +55,26 @@ def place(address: str) -> tuple[int, int] | None:
 
 
 def typed(kind: str | None, raw: str | None, strings: list[str]) -> tuple[str | None, float | None, str | None, bool | None]:
-    """(vkind, num, txt, flag) of a stored value; a number that can't be read is text, a bad truth value is none."""
+    """(vkind, num, txt, flag) of a stored value; a number that can't be read is text, a bad truth value is none, and an
+    empty value of any kind is an empty text."""
     if raw is None:
         return None, None, None, None
+    value = raw.strip()
+    if kind in ("str", "inlineStr"):
+        return "text", None, raw, None
+    if value == "":
+        return "text", None, "", None
     if kind == "s":
-        at = int(raw.strip()) if raw.strip().isdigit() else -1
+        at = int(value) if value.isascii() and value.isdigit() else -1
         if not 0 <= at < len(strings):
             raise Broken(f"shared string {raw!r} is missing")
         return "text", None, strings[at], None
     if kind == "b":
-        flag = {"1": True, "0": False}.get(raw.strip())
+        flag = {"1": True, "0": False}.get(value)
         return (None,) * 4 if flag is None else ("bool", None, None, flag)
     if kind == "e":
-        return "error", None, raw, None
-    if kind in ("str", "inlineStr") or raw.strip() == "":
-        return "text", None, raw, None
-    try:
-        return "number", float(raw), None, None
-    except ValueError:
-        return "text", None, raw, None
+        return "error", None, value, None
+    return ("number", float(value), None, None) if _NUMBER.fullmatch(value) else ("text", None, value, None)
 
 
 class Package:
@@ -215,15 +218,18 @@ def scan(spark: SparkSession, root: str, glob: str = "*.xls[xm]", limits: Limits
         schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held: list[dict] = []
                 try:
-                    for record in read(data.as_py(), limits):
-                        held.append({"path": path, **record})
-                        if len(held) == 10_000:
-                            yield pa.RecordBatch.from_pylist(held, schema)
-                            held = []
+                    for _ in read(data.as_py(), limits):  # a file that breaks late must not give half a workbook
+                        pass
                 except (Broken, ElementTree.ParseError, zipfile.BadZipFile, ValueError) as e:
-                    held.append({"path": path, "kind": "error", "txt": str(e)})
+                    yield pa.RecordBatch.from_pylist([{"path": path, "kind": "error", "txt": str(e)}], schema)
+                    continue
+                held: list[dict] = []
+                for record in read(data.as_py(), limits):
+                    held.append({"path": path, **record})
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held = []
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
