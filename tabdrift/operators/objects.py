@@ -81,7 +81,7 @@ def with_metadata(members: DataFrame, metadata: DataFrame) -> DataFrame:
     on = ["pair_id", "side", "section", "member"]
     false = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     one = metadata.groupBy(*on).agg(*[F.max(c).alias(c) for c in ("load_to_sheet", "load_to_model", "group_path")])
-    both = members.join(one, on, "left")
+    both = members.select(*on, "expression", "position").join(one, on, "left")
     both = both.select(*on, "expression", "position", F.concat_ws("/", "section", "member").alias("name"), false("load_to_sheet"), false("load_to_model"), "group_path")
     both = both.withColumn("connection_only", ~(F.col("load_to_sheet") | F.col("load_to_model")))
     last = Window.partitionBy("pair_id", "side", "name").orderBy(F.col("position").desc())

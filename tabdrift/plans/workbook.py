@@ -40,7 +40,7 @@ def cell_struct() -> Column:
 
 def comparable(c: Column) -> Column:
     """What two cells must share to be equal: numbers by 15 digits, everything else as it is."""
-    return F.struct(c["vkind"], norm15(c["num"]), c["txt"], c["flag"], c["formula"])
+    return F.struct(c["vkind"].alias("vkind"), norm15(c["num"]).alias("num"), c["txt"].alias("txt"), c["flag"].alias("flag"), c["formula"].alias("formula"))
 
 
 def content_hash() -> Column:

@@ -22,7 +22,7 @@ from .workbook import Broken, Limits, local
 SCHEMA = (
     "path string, kind string, section string, member string, expression string, position int, load_to_sheet boolean, load_to_model boolean, group_path string, "
     "embedded string, name string, tbl string, data_type string, is_hidden boolean, format_string string, sort_by string, summarize_by string, from_table string, "
-    "from_column string, to_table string, to_column string, cross_filtering_behavior string, cardinality string, is_active boolean, firewall boolean, group_type string, txt string"
+    "from_column string, to_table string, to_column string, cross_filtering_behavior string, cardinality string, is_active boolean, firewall boolean, future_packages boolean, group_type string, txt string"
 )
 
 
@@ -109,9 +109,17 @@ def sections(parts: bytes, limits: Limits = Limits()) -> Iterator[tuple[str | No
                 continue
 
 
-def _flag(entries: dict[str, str], *names: str) -> bool:
-    value = next((entries[n] for n in names if n in entries), "")
-    return value.lower() in ("l1", "1", "true", "ltrue")
+_TRUTH = {"1": True, "true": True, "yes": True, "0": False, "false": False, "no": False}
+
+
+def truth(text: str) -> bool | None:
+    """A truth value, with or without the letter that marks its type."""
+    low = text.strip().lower()
+    return _TRUTH.get(low, _TRUTH.get(low[1:]) if low[:1] == "l" else None)
+
+
+def _flag(entries: list[tuple[str, str]], *names: str) -> bool:
+    return next((t for n, v in entries if n.lower() in map(str.lower, names) and (t := truth(v)) is not None), False)
 
 
 def metadata(data: bytes) -> Iterator[dict]:
@@ -124,7 +132,7 @@ def metadata(data: bytes) -> Iterator[dict]:
         if local(item.tag) != "Item":
             continue
         kind = path = None
-        entries: dict[str, str] = {}
+        entries: list[tuple[str, str]] = []
         for e in item.iter():
             tag = local(e.tag)
             if tag == "ItemType":
@@ -132,29 +140,31 @@ def metadata(data: bytes) -> Iterator[dict]:
             elif tag == "ItemPath":
                 path = (e.text or "").strip()
             elif tag == "Entry" and e.get("Type"):
-                entries.setdefault(e.get("Type"), e.get("Value") or "")
+                entries.append((e.get("Type"), e.get("Value") or ""))
         if kind != "Formula":
             continue
         if not path:
             raise Broken("a formula has no path")
         section, _, member = urllib.parse.unquote(path).partition("/")
-        group = next((entries[n] for n in ("QueryGroupId", "QueryGroupID", "QueryGroupPath", "QueryGroup") if n in entries), None)
+        group = next((v.strip() for n, v in entries if n.lower() in ("querygroupid", "querygrouppath", "querygroup")), "")
         yield {
             "kind": "metadata", "section": section, "member": member, "load_to_sheet": _flag(entries, "FillEnabled", "LoadEnabled"),
-            "load_to_model": _flag(entries, "FillToDataModelEnabled", "AddedToDataModel", "LoadToDataModel"), "group_path": group[1:] if group and group[0] == "s" else group,
+            "load_to_model": _flag(entries, "FillToDataModelEnabled", "AddedToDataModel", "LoadToDataModel"), "group_path": (group[1:] if group[:1] in ("s", "S") else group) or None,
         }
 
 
 def permissions(data: bytes) -> dict:
     """Firewall flag and group type; defaults wherever they can't be read. Bindings can't be verified here."""
-    out = {"kind": "permissions", "firewall": True, "group_type": None, "txt": "bindings unverified"}
+    out = {"kind": "permissions", "firewall": True, "future_packages": False, "group_type": None, "txt": "bindings unverified"}
     try:
         for e in _xml(text_of(data)).iter():
             tag = local(e.tag)
             if tag == "FirewallEnabled":
-                out["firewall"] = (e.text or "").strip().lower() in ("true", "1")
+                out["firewall"] = t if (t := truth(e.text or "")) is not None else out["firewall"]
+            elif tag == "CanEvaluateFuturePackages":
+                out["future_packages"] = bool(truth(e.text or ""))
             elif tag == "WorkbookGroupType":
-                out["group_type"] = e.text
+                out["group_type"] = (e.text or "").strip() or None
     except (Broken, UnicodeDecodeError):
         pass
     return out
@@ -178,16 +188,16 @@ def _expression(value) -> str | None:
     return "\n".join(map(str, value)) if isinstance(value, list) else value if isinstance(value, str) else None
 
 
-def _measures(value) -> Iterator[dict]:
-    """Measures anywhere in a document that isn't laid out as a model."""
+def _measures(value, table: str = "") -> Iterator[tuple[str, dict]]:
+    """Measures anywhere in a document that isn't laid out as a model, each with the nearest name around it."""
     if isinstance(value, dict):
-        yield from _listed(value.get("measures"))
-        for k, v in value.items():
-            if k != "measures":
-                yield from _measures(v)
+        yield from ((table, m) for m in _listed(value.get("measures")))
+        inner = value["name"] if isinstance(value.get("name"), str) else table
+        for v in value.values():
+            yield from _measures(v, inner)
     elif isinstance(value, list):
         for v in value:
-            yield from _measures(v)
+            yield from _measures(v, table)
 
 
 def read_model(text: str) -> Iterator[dict]:
@@ -206,17 +216,17 @@ def read_model(text: str) -> Iterator[dict]:
                 "kind": "column", "tbl": t.get("name", ""), "name": c.get("name", ""), "position": k, "data_type": c.get("dataType"), "is_hidden": c.get("isHidden"),
                 "format_string": c.get("formatString"), "sort_by": c.get("sortByColumn"), "summarize_by": c.get("summarizeBy"), "expression": _expression(c.get("expression")),
             }
-        found += [(f"{t.get('name', '')}/{m.get('name', '')}", m) for m in _listed(t.get("measures"))]
-    found += [(m.get("name", ""), m) for m in _listed(model.get("measures"))]
-    if not tables and not found:
-        found = [(m.get("name", ""), m) for m in _measures(root)]
-    for k, (name, m) in enumerate(found):
+        found += [(t.get("name", ""), m) for m in _listed(t.get("measures"))]
+    found += [("", m) for m in _listed(model.get("measures"))]
+    if not tables:
+        found = list(_measures(root))
+    named = [(f"{t}/{m['name']}" if t else m["name"], m) for t, m in found if isinstance(m.get("name"), str)]
+    for k, (name, m) in enumerate(named):
         yield {"kind": "measure", "name": name, "expression": _expression(m.get("expression")) or "", "position": k}
     for k, r in enumerate(_listed(model.get("relationships"))):
-        cardinality = "-".join(filter(None, (r.get("fromCardinality"), r.get("toCardinality")))) or r.get("cardinality")
         yield {
             "kind": "relationship", "position": k, "from_table": r.get("fromTable", ""), "from_column": r.get("fromColumn", ""), "to_table": r.get("toTable", ""),
-            "to_column": r.get("toColumn", ""), "cross_filtering_behavior": r.get("crossFilteringBehavior"), "cardinality": cardinality, "is_active": r.get("isActive"),
+            "to_column": r.get("toColumn", ""), "cross_filtering_behavior": r.get("crossFilteringBehavior"), "cardinality": r.get("cardinality") or None, "is_active": r.get("isActive"),
         }
 
 
@@ -238,9 +248,9 @@ def read(data: bytes, limits: Limits = Limits()) -> Iterator[dict]:
         raise Broken("neither queries nor a model")
 
 
-def scan(spark: SparkSession, root: str, glob: str = "*.{xlsx,xlsm,pbix,pbit}", limits: Limits = Limits()) -> DataFrame:
-    """All records of the packages under a folder, kind telling them apart: member, metadata, permissions, table, column,
-    measure, relationship, error."""
+def records(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """All records of files(path, content), kind telling them apart: member, metadata, permissions, table, column, measure,
+    relationship, error."""
 
     def run(batches):
         import pyarrow as pa
@@ -256,5 +266,9 @@ def scan(spark: SparkSession, root: str, glob: str = "*.{xlsx,xlsm,pbix,pbit}",
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def scan(spark: SparkSession, root: str, glob: str = "*.{xlsx,xlsm,pbix,pbit}", limits: Limits = Limits()) -> DataFrame:
+    """Records of the packages at a path or under a folder."""
+    return records(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root), limits)

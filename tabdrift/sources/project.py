@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Largest file that is read, in bytes.
 LARGEST = 10 << 20
 #: Folders that hold no documents of the project.
-IGNORED = (".git", ".svn", ".hg", "node_modules", "target", "bin", "obj")
+IGNORED = (".git", ".pbi", "target", "node_modules", ".venv", ".idea", ".vscode")
 
 
 def relative(path: Column, root: str) -> Column:

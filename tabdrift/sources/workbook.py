@@ -182,7 +182,7 @@ def read(data: bytes, limits: Limits = Limits()) -> Iterator[dict]:
             sheets.append((e.get("name", ""), int(e.get("sheetId", 0)), links.get(rel, ("", f"xl/worksheets/sheet{e.get('sheetId')}.xml"))[1]))
     for position, (name, number, part) in enumerate(sheets):
         here = {"sheet": name, "sheet_id": number, "position": position}
-        yield {"kind": "sheet", **here}
+        yield {"kind": "sheet", "name": part, **here}
         for cell in package.cells(part, strings):
             yield {"kind": "cell", **here, **cell}
         for kind, drawing in package.links(part).values():
@@ -208,8 +208,8 @@ def chart_of(part: str, data: bytes) -> dict:
     }
 
 
-def scan(spark: SparkSession, root: str, glob: str = "*.xls[xm]", limits: Limits = Limits()) -> DataFrame:
-    """All records of the workbooks under a folder, kind telling them apart: part, sheet, cell, chart, name, error."""
+def records(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """All records of files(path, content), kind telling them apart: part, sheet, cell, chart, name, error."""
 
     def run(batches):
         import pyarrow as pa
@@ -233,23 +233,36 @@ def scan(spark: SparkSession, root: str, glob: str = "*.xls[xm]", limits: Limits
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def cells(records: DataFrame) -> DataFrame:
-    return records.where("kind = 'cell'").select("path", "sheet", "row", "col", "vkind", "num", "txt", "flag", "formula")
+def scan(spark: SparkSession, root: str, glob: str = "*.xls[xm]", limits: Limits = Limits()) -> DataFrame:
+    """Records of the workbooks at a path or under a folder."""
+    return records(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root), limits)
+
+
+def cells(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'cell'").select("path", "sheet", "row", "col", "vkind", "num", "txt", "flag", "formula")
 
 
-def sheets(records: DataFrame) -> DataFrame:
+def sheets(found: DataFrame) -> DataFrame:
     """Sheets with their bounding box."""
-    box = records.where("kind in ('sheet', 'cell')").groupBy("path", "sheet", "sheet_id", "position")
+    box = found.where("kind in ('sheet', 'cell')").groupBy("path", "sheet", "sheet_id", "position")
     return box.agg((F.coalesce(F.max("row"), F.lit(-1)) + 1).alias("n_rows"), (F.coalesce(F.max("col"), F.lit(-1)) + 1).alias("n_cols"), F.count("row").alias("n_cells"))
 
 
-def names(records: DataFrame) -> DataFrame:
-    return records.where("kind = 'name'").select("path", "name", "sheet", "refers_to")
+def names(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'name'").select("path", "name", "sheet", "refers_to")
+
+
+def charts(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'chart'").select("path", "sheet", "sheet_id", "name", "chart_type", "refers_to", "hash")
 
 
-def charts(records: DataFrame) -> DataFrame:
-    return records.where("kind = 'chart'").select("path", "sheet", "sheet_id", "name", "chart_type", "refers_to", "hash")
+def fingerprints(found: DataFrame) -> DataFrame:
+    """(path, sheet, print): checksum and size of each sheet's part and of the shared strings. Sheets with equal prints
+    have equal cells."""
+    parts = found.where("kind = 'part'").select("path", F.col("name").alias("part"), F.concat_ws(":", "hash", "size").alias("print"))
+    strings = parts.where("part = 'xl/sharedStrings.xml'").select("path", F.col("print").alias("strings"))
+    one = found.where("kind = 'sheet'").select("path", "sheet", F.col("name").alias("part")).join(parts, ["path", "part"]).join(strings, "path", "left")
+    return one.select("path", "sheet", F.concat_ws("/", "print", "strings").alias("print"))
