@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.exprs import a1, norm15, normal_text
-from .operators import grid, keyed, objects
+from .operators import analysis, grid, keyed, objects
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,22 +72,21 @@ def keyed_diff_summary(spark, d):
 
 
 @query(f"""WITH {_ORDERS} SELECT CASE WHEN kind LIKE '%Added' THEN 'added' WHEN kind LIKE '%Removed' THEN 'removed' ELSE 'modified' END AS change,
-  CASE WHEN kind = 'RowRemoved' THEN 'high' WHEN kind = 'RowAdded' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM ops GROUP BY ALL""")
+  'medium' AS severity, count(*) AS n FROM ops GROUP BY ALL""")
 def change_counts(spark, d):
     ops = keyed_diff_ops(spark, d)
-    return ops.groupBy(objects.change_class(F.col("kind")).alias("change"), objects.severity(F.col("kind")).alias("severity")).agg(F.count("*").alias("n"))
+    return ops.groupBy(analysis.change_class(F.col("kind")).alias("change"), analysis.severity(F.col("kind")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_ORDERS} SELECT o_orderkey, kind, field FROM ops WHERE o_orderkey BETWEEN 100 AND 400")
 def ops_in_range(spark, d):
     ops = keyed_diff_ops(spark, d).withColumn("row", F.col("o_orderkey")).withColumn("row_end", F.lit(None).cast("long"))
-    return objects.touching(ops, 100, 400).select("o_orderkey", "kind", "field")
+    return analysis.touching(ops, 100, 400).select("o_orderkey", "kind", "field")
 
 
 @query(f"WITH {_ORDERS} SELECT o_orderkey, field, to_txt FROM ops WHERE contains(lower(coalesce(to_txt, '')), 'xhigh') OR contains(lower(coalesce(to_txt, '')), 'x2-h')")
 def search_ops(spark, d):
-    text = F.lower(F.coalesce("to_txt", F.lit("")))
-    return keyed_diff_ops(spark, d).where(text.contains("xhigh") | text.contains("x2-h")).select("o_orderkey", "field", "to_txt")
+    return analysis.search(keyed_diff_ops(spark, d), ["to_txt"], ["xHigh", "x2-h"]).select("o_orderkey", "field", "to_txt")
 
 
 _LINES = """
@@ -152,11 +151,8 @@ def suggest_keys(spark, d):
   SELECT unnest(['o_custkey', 'o_orderstatus', 'rarely']) AS name, unnest([CAST(o_custkey AS VARCHAR), o_orderstatus,
   CASE WHEN o_orderkey % 3 = 0 THEN 'x' END]) AS v FROM orders WHERE o_orderkey IS NOT NULL) c GROUP BY c.name""")
 def table_scope(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey is not null").withColumn("rarely", F.when(F.col("o_orderkey") % 3 == 0, "x"))
-    names = ["o_custkey", "o_orderstatus", "rarely"]
-    n = o.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(c) for c in names])
-    out = n.select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n_filled")) for c in names])).alias("s"))
-    return out.select("s.field", "n_rows", "s.n_filled", (F.col("s.n_filled") * 2 >= F.col("n_rows")).alias("in_scope"))
+    o = table(spark, d, "orders").withColumn("rarely", F.when(F.col("o_orderkey") % 3 == 0, "x"))
+    return keyed.table_scope(o, ["o_orderkey"], ["o_custkey", "o_orderstatus", "rarely"])
 
 
 # ---- cells: customer by custkey; the new version edits some cells and moves or drops rows
@@ -220,16 +216,7 @@ def dense_row_replaced(spark, d):
 @query(f"""WITH {_CUSTOMERS} SELECT min("row") AS "first", max("row") AS "last", count(*) AS n FROM (SELECT "row", "row" - row_number() OVER (ORDER BY "row") AS g FROM dense)
   GROUP BY g HAVING count(*) >= 4""")
 def rect_replaced(spark, d):
-    # rows go by blocks of a fixed size first, and runs that touch a block's edge are joined, so no task orders all rows
-    block = 1 << 16
-    rows = _dense(spark, d).withColumn("block", F.floor(F.col("row") / block))
-    runs = grid.islands(rows, ["block"], "row").select("first", "last", "n")
-    open_ = (F.col("first") % block == 0) | ((F.col("last") + 1) % block == 0)
-    edge = runs.where(open_)  # at most two for each block
-    w = Window.orderBy("first")
-    marked = edge.withColumn("new", F.coalesce((F.col("first") != F.lag("last").over(w) + 1).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(w))
-    joined = marked.groupBy("g").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("g")
-    return runs.where(~open_).unionByName(joined).where("n >= 4")
+    return grid.joined_islands(_dense(spark, d), [], "row", 1 << 16).where("n >= 4")
 
 
 # ---- signatures: orders as rows, the signature being status and priority, or customer
@@ -262,34 +249,12 @@ def frequency_classes(spark, d):
 
 @query(f"WITH {_SIGS} SELECT CAST(sum(abs(freq_a - freq_b)) AS BIGINT) AS differing, CAST(sum(abs(freq_a - freq_b)) // 2 AS BIGINT) AS distance FROM f")
 def multiset_distance(spark, d):
-    n = grid.both_counts(*signatures(spark, d), ["sig"]).agg(F.sum(F.abs(F.col("freq_a") - F.col("freq_b"))).alias("differing"))
-    return n.select("differing", F.floor(F.col("differing") / 2).alias("distance"))
+    return grid.multiset_distance(*signatures(spark, d), ["sig"])
 
 
 @query(f"WITH {_SIGS} SELECT count(*) AS n, count_if(a.sig = b.sig) AS n_match FROM old a JOIN new b USING (r)")
 def in_order_ratio(spark, d):
-    old, new = signatures(spark, d)
-    both = old.join(new.select("r", F.col("sig").alias("sig_b")), "r")
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("sig") == F.col("sig_b")).alias("n_match"))
-
-
-@query(f"WITH {_SIGS} SELECT count_if(freq_a > 0 AND freq_b > 0) AS n_both, count(*) AS n_either FROM f WHERE sig % 4 = 0")
-def sampled_jaccard(spark, d):
-    old, new = signatures(spark, d)
-    f = grid.both_counts(old.where("sig % 4 = 0"), new.where("sig % 4 = 0"), ["sig"])
-    return f.agg(F.count_if((F.col("freq_a") > 0) & (F.col("freq_b") > 0)).alias("n_both"), F.count("*").alias("n_either"))
-
-
-@query(f"""WITH {_SIGS}, s AS (SELECT sheet, sig, sum(a) AS freq_a, sum(b) AS freq_b FROM (SELECT sheet, sig, 1 AS a, 0 AS b FROM old UNION ALL SELECT sheet, sig, 0, 1 FROM new)
-  GROUP BY sheet, sig), t AS (SELECT sheet, sum(freq_a) AS n, sum(abs(freq_a - freq_b)) AS d, count_if(freq_a > 0 AND freq_b > 0) AS i, count(*) AS u FROM s GROUP BY sheet)
-  SELECT sheet, CASE WHEN n < 100 THEN 'Full' WHEN d = 0 THEN 'Reordered' WHEN i * 20 < u THEN 'Dissimilar' WHEN d <= 32 THEN 'NearIdentical' ELSE 'Full' END AS strategy FROM t""")
-def preflight_strategy(spark, d):
-    s = grid.both_counts(*signatures(spark, d), ["sheet", "sig"])
-    t = s.groupBy("sheet").agg(
-        F.sum("freq_a").alias("n"), F.sum(F.abs(F.col("freq_a") - F.col("freq_b"))).alias("d"),
-        F.count_if((F.col("freq_a") > 0) & (F.col("freq_b") > 0)).alias("i"), F.count("*").alias("u"),
-    )
-    return t.select("sheet", F.expr("case when n < 100 then 'Full' when d = 0 then 'Reordered' when i * 20 < u then 'Dissimilar' when d <= 32 then 'NearIdentical' else 'Full' end").alias("strategy"))
+    return grid.in_order(*signatures(spark, d), "r", "sig").select("n", "n_match")
 
 
 _UNIQ = """
@@ -315,12 +280,10 @@ def unique_anchors(spark, d):
 
 
 @query(f"""WITH {_UNIQ} SELECT "offset", min(row_a) AS "first", max(row_a) AS "last", count(*) AS n FROM
-  (SELECT row_b - row_a AS "offset", row_a, row_a - row_number() OVER (PARTITION BY row_b - row_a, row_a // 100000 ORDER BY row_a) AS g, row_a // 100000 AS blk FROM anchors)
-  GROUP BY "offset", blk, g HAVING count(*) > 1""")
+  (SELECT row_b - row_a AS "offset", row_a, row_a - row_number() OVER (PARTITION BY row_b - row_a ORDER BY row_a) AS g FROM anchors)
+  WHERE "offset" <> 0 GROUP BY "offset", g HAVING count(*) > 1""")
 def offset_islands(spark, d):
-    # the SQL cuts runs at every 100,000th row; here they are whole, so the two differ where a run crosses such an edge
-    found = unique_anchors(spark, d).select((F.col("row_b") - F.col("row_a")).alias("offset"), "row_a")
-    return grid.joined_islands(found, ["offset"], "row_a", 100_000).where("n > 1")
+    return grid.shifted(unique_anchors(spark, d), "row_a", "row_b")
 
 
 @query(f"""WITH {_UNIQ} SELECT sig, a.row_a, b.row_b FROM (SELECT sig, min(r) AS row_a FROM ua WHERE r NOT IN (SELECT r FROM ub) GROUP BY sig HAVING count(*) = 1) a
@@ -348,8 +311,7 @@ def row_runs(spark, d):
 @query(None)
 def anchor_chain(spark, d):
     a, b = uniques(spark, d)
-    found = grid.anchors(a, b, "sig", "r").withColumn("sheet", F.col("row_a") % 25)
-    return grid.anchor_chain(found, "sheet")
+    return grid.anchor_chain(grid.anchors(a, b, "sig", "r", ["sheet"]), "sheet")
 
 
 @query("""WITH a AS (SELECT o_custkey % 40 AS sheet, o_orderkey AS r, o_orderstatus AS sig FROM orders),
@@ -359,8 +321,7 @@ def anchor_chain(spark, d):
 def prefix_suffix(spark, d):
     a = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("sheet"), F.col("o_orderkey").alias("r"), F.col("o_orderstatus").alias("sig"))
     b = a.select("r", F.when(F.expr("r % 1000 between 300 and 600"), "Z").otherwise(F.col("sig")).alias("sig_b"))
-    differing = F.when(~F.col("sig").eqNullSafe(F.col("sig_b")), F.col("r"))
-    return a.join(b, "r").groupBy("sheet").agg(F.count("*").alias("n"), F.min(differing).alias("first_differing"), F.max(differing).alias("last_differing"))
+    return grid.first_and_last_difference(a.join(b, "r"), ["sheet"], "r", "sig", "sig_b")
 
 
 @query("""WITH s AS (SELECT o_custkey % 40 AS sheet, o_orderkey AS r, o_orderstatus AS sig FROM orders),
@@ -368,8 +329,7 @@ def prefix_suffix(spark, d):
  SELECT sheet, sig || s1 || s2 || s3 AS context, count(*) AS n, min(r) AS "first" FROM w WHERE s3 IS NOT NULL GROUP BY ALL""")
 def context_anchors(spark, d):
     s = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("sheet"), F.col("o_orderkey").alias("r"), F.col("o_orderstatus").alias("sig"))
-    w = Window.partitionBy("sheet").orderBy("r")
-    c = s.select("sheet", "r", F.concat("sig", *[F.lead("sig", k).over(w) for k in (1, 2, 3)]).alias("context")).where("context is not null")
+    c = grid.contexts(s, ["sheet"], "r", "sig", 4)
     return c.groupBy("sheet", "context").agg(F.count("*").alias("n"), F.min("r").alias("first"))
 
 
@@ -415,8 +375,7 @@ def file_pairing(spark, d):
 
 @query("""SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS token FROM benchmark) WHERE token LIKE 'th%' GROUP BY ALL""")
 def token_prefix_search(spark, d):
-    tokens = table(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
-    return tokens.where(F.col("token").startswith("th")).groupBy("item_id", "token").agg(F.count("*").alias("n"))
+    return analysis.token_search(table(spark, d, "benchmark"), "item_id", "text", "th")
 
 
 @query("""SELECT o_orderkey, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) WHEN n <= 702 THEN chr(CAST(65 + (n - 27) // 26 AS INT)) || chr(CAST(65 + (n - 1) % 26 AS INT))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import same_number
+from .align import increasing
 
 
 def cells(df: DataFrame, row: str, columns: list[str]) -> DataFrame:
@@ -58,14 +59,71 @@ def both_counts(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     return both.groupBy(*by).agg(F.sum("a").alias("freq_a"), F.sum("b").alias("freq_b"))
 
 
-def frequency_class(n, rare: int = 5):
-    return F.when(n == 1, "Unique").when(n <= rare, "Rare").otherwise("Common")
+def multiset_distance(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """(differing, distance): rows whose signature the other side lacks, and half of them: what an edit of rows costs."""
+    n = both_counts(old, new, by).agg(F.sum(F.abs(F.col("freq_a") - F.col("freq_b"))).alias("differing"))
+    return n.select("differing", F.floor(F.col("differing") / 2).alias("distance"))
 
 
-def anchors(old: DataFrame, new: DataFrame, sig: str, at: str) -> DataFrame:
-    """Signatures that either side has exactly once: sig, row_a, row_b."""
-    once = lambda d, name: d.groupBy(sig).agg(F.count("*").alias("k"), F.min(at).alias(name)).where("k = 1").drop("k")
-    return once(old, "row_a").join(once(new, "row_b"), sig)
+def in_order(old: DataFrame, new: DataFrame, at: str, sig: str) -> DataFrame:
+    """(n, n_match, ratio) of rows at equal places."""
+    both = old.select(at, F.col(sig).alias("__a")).join(new.select(at, F.col(sig).alias("__b")), at)
+    match = F.count_if(F.col("__a").eqNullSafe(F.col("__b")))
+    return both.agg(F.count("*").alias("n"), match.alias("n_match"), (match / F.greatest(F.count("*"), F.lit(1))).alias("ratio"))
+
+
+def sampled_sets(old: DataFrame, new: DataFrame, group: str, at: str, sig: str, most: int = 4096) -> DataFrame:
+    """(group, n_both, n_either): distinct signatures that both sides share and that either has, among every (n / most)-th
+    row by place, at most that many, and the last row. n is that of the old side."""
+    n = old.groupBy(group).agg(F.count("*").alias("__n"))
+    step = F.greatest(F.floor(F.col("__n") / F.least(F.col("__n"), F.lit(most))), F.lit(1))
+    picked = ((F.col(at) % step == 0) & (F.floor(F.col(at) / step) < most)) | (F.col(at) == F.col("__n") - 1)
+    some = lambda d: d.join(n, group).where(picked).select(group, sig)
+    f = both_counts(some(old), some(new), [group, sig])
+    return f.groupBy(group).agg(F.count_if((F.col("freq_a") > 0) & (F.col("freq_b") > 0)).alias("n_both"), F.count("*").alias("n_either"))
+
+
+def first_and_last_difference(both: DataFrame, group: list[str], at: str, a: str, b: str) -> DataFrame:
+    """group, n, first_differing, last_differing: what stands before the first is a common prefix, after the last a suffix."""
+    differing = F.when(~F.col(a).eqNullSafe(F.col(b)), F.col(at))
+    return both.groupBy(*group).agg(F.count("*").alias("n"), F.min(differing).alias("first_differing"), F.max(differing).alias("last_differing"))
+
+
+def contexts(df: DataFrame, group: list[str], at: str, sig: str, k: int) -> DataFrame:
+    """Signatures of each k rows in a row, at the first one."""
+    w = Window.partitionBy(*group).orderBy(at)
+    return df.select(*group, at, F.concat(sig, *[F.lead(sig, i).over(w) for i in range(1, k)]).alias("context")).where("context is not null")
+
+
+def with_context(rows: DataFrame, group: list[str], at: str, k: int, size: str) -> DataFrame:
+    """Rows and those up to k places before and after them, within 0 and size, each once."""
+    near = F.sequence(F.greatest(F.col(at) - k, F.lit(0)), F.least(F.col(at) + k, F.col(size) - 1))
+    return rows.select(*group, F.explode(near).alias(at)).distinct()
+
+
+def frequency_class(n, rare: int = 5, bare=None):
+    """Unique, Rare or Common by the number of rows; LowInfo where a row says too little."""
+    out = F.when(n == 1, "Unique").when(n <= rare, "Rare").otherwise("Common")
+    return out if bare is None else F.when(bare, "LowInfo").otherwise(out)
+
+
+def hash_stats(old: DataFrame, new: DataFrame, by: list[str], at: str, limit: int = 8) -> DataFrame:
+    """by, freq_a, freq_b, first place on both sides, and whether a side has it more often than alignment can use."""
+    side = lambda d, a, b: d.select(*by, F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.lit(a == 1), F.col(at)).alias("pa"), F.when(F.lit(b == 1), F.col(at)).alias("pb"))
+    n = side(old, 1, 0).unionByName(side(new, 0, 1)).groupBy(*by).agg(F.sum("a").alias("freq_a"), F.sum("b").alias("freq_b"), F.min("pa").alias("first_a"), F.min("pb").alias("first_b"))
+    return n.withColumn("heavy", F.greatest("freq_a", "freq_b") > limit)
+
+
+def anchors(old: DataFrame, new: DataFrame, sig: str, at: str, group: list[str] = []) -> DataFrame:  # noqa: B006
+    """Signatures that either side has exactly once, within groups such as sheets: group, sig, row_a, row_b."""
+    once = lambda d, name: d.groupBy(*group, sig).agg(F.count("*").alias("k"), F.min(at).alias(name)).where("k = 1").drop("k")
+    return once(old, "row_a").join(once(new, "row_b"), [*group, sig])
+
+
+def shifted(pairs: DataFrame, a: str, b: str, group: list[str] = []) -> DataFrame:  # noqa: B006
+    """Moves: runs of at least two matched rows with one offset that isn't zero: group, offset, first, last, n."""
+    found = pairs.select(*group, (F.col(b) - F.col(a)).alias("offset"), a).where("offset <> 0")
+    return joined_islands(found, [*group, "offset"], a, 100_000).where("n > 1")
 
 
 def fifo(old: DataFrame, new: DataFrame, sig: str, at: str) -> DataFrame:
@@ -75,29 +133,15 @@ def fifo(old: DataFrame, new: DataFrame, sig: str, at: str) -> DataFrame:
     return side(old, "row_a").join(side(new, "row_b"), [sig, "k"])
 
 
-def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of pairs that increases on both sides (patience sorting); pairs come in the order of the second."""
-    from bisect import bisect_left
-
-    tails, at, before = [], [], []
-    for i, (a, _) in enumerate(pairs):
-        k = bisect_left(tails, a)
-        before.append(at[k - 1] if k else -1)
-        tails[k:], at[k:] = ([a], [i]) if k == len(tails) else ([a, *tails[k + 1 :]], [i, *at[k + 1 :]])
-    out, i = [], at[-1] if at else -1
-    while i >= 0:
-        out.append(pairs[i])
-        i = before[i]
-    return out[::-1]
-
-
 def anchor_chain(found: DataFrame, group: str) -> DataFrame:
     """Anchors of each sheet that keep their order: (group, row_a, row_b), one sheet's unique signatures in a kernel."""
 
     def kernel(df):
-        chain = increasing(list(df.sort_values("row_b")[["row_a", "row_b"]].itertuples(index=False, name=None)))
         import pandas as pd
 
-        return pd.DataFrame({group: [df[group].iloc[0]] * len(chain), "row_a": [a for a, _ in chain], "row_b": [b for _, b in chain]})
+        df = df.sort_values("row_b")
+        kept = increasing(df["row_a"].tolist())
+        part = df.iloc[kept]
+        return pd.DataFrame({group: part[group], "row_a": part["row_a"], "row_b": part["row_b"]})
 
     return found.groupBy(group).applyInPandas(kernel, f"{group} {dict(found.dtypes)[group]}, row_a long, row_b long")
