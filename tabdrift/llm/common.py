@@ -75,6 +75,14 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, row: str, salts: int = 32) -> DataFrame:
+    """many joined with one (a row per key), where a key may have a large share of many's rows: they are dealt out by row
+    to as many groups, and each row of one goes to all of them."""
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(salts)))
+    copied = one.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", most: int = 60) -> DataFrame:
     """Connected components of edges(a, b) by alternating large-star and small-star steps.
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, fresh, trim, utf8
+from .common import Scratch, connected_components, fresh, spread_join, trim, utf8
 
 WORDS = 5
 #: Counters of the sketch that orders shingles, and how it is cut for summing.
@@ -370,9 +370,12 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     if not rest.isEmpty():
         more = join.linked(rest, nodes, "rest")
         classes = connected_components(links.union(more), scratch, "cc_all")
-    named = nodes.join(classes, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = scratch.save(named.join(smallest, "component").select("node", "component_id"), "ids")
+    # a component may have a large share of all sets; sets without a link are their own
+    named = scratch.save(nodes.select("node", "rep").join(classes, "node", "left"), "named")
+    linked = named.where("component is not null")
+    smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = spread_join(linked, smallest, "component", "node").select("node", "component_id")
+    ids = scratch.save(ids.unionByName(named.where("component is null").select("node", F.col("rep").alias("component_id"))), "ids")
     out = rows.join(ids, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -386,9 +389,9 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.save(components(keyed, scratch, row).select(F.col("doc_id").alias("row"), "component_id"), "found")
     shared = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
-    held = found.join(shared, "component_id").join(ids, "row")
+    held = spread_join(found, shared, "component_id", "row").join(ids, "row")
     first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("first"))
-    copies = scratch.save(found.join(first, "component_id").where("row <> first").select(F.col("row").alias(row)), "copies")
+    copies = scratch.save(spread_join(found, first, "component_id", "row").where("row <> first").select(F.col("row").alias(row)), "copies")
     return keyed.join(copies, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
