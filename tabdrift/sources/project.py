@@ -29,7 +29,7 @@ def documents(spark: SparkSession, root: str, glob: str = "*", ignored: tuple[st
     parts = F.split("path", "/")
     kept = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, ignored))))
     skipped = F.col("length") > LARGEST
-    return kept.select("path", F.when(~skipped, F.decode("content", F.lit("UTF-8"))).alias("raw"), skipped.alias("skipped"))
+    return kept.select("path", F.when(~skipped, F.decode("content", "UTF-8")).alias("raw"), skipped.alias("skipped"))
 
 
 def file_sets(spark: SparkSession, old: str, new: str, include: str = "*", exclude: str | None = None, by_name: bool = False) -> DataFrame:
