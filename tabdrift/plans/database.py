@@ -14,6 +14,7 @@ from ..config import DiffConfig
 from ..functions import formula
 from ..operators.keyed import LARGEST, match_cluster
 from ..schema import CELL, ops
+from ..store import Store
 from .workbook import cell_struct, comparable
 
 PLACE = ["pair_id", "sheet"]
@@ -62,9 +63,9 @@ def _matched(df):
 def database_diff(cells: DataFrame, keys: list[int], cfg: DiffConfig | None = None) -> DataFrame:
     """Operations of sheets that both sides have, in the order removed, added, edits, clusters with what is in them, cells
     outside the table. cells have sheet names that are equal on both sides."""
-    cfg = cfg or DiffConfig()
-    rows = table_rows(cells, keys)
-    cols = compared_columns(rows, keys)
+    cfg, store = cfg or DiffConfig(), Store(cells.sparkSession)
+    rows = store.save(table_rows(cells, keys), "rows")
+    cols = store.save(compared_columns(rows, keys), "columns")
     n = rows.groupBy(*PLACE, "key").agg(F.count_if(F.col("side") == "old").alias("a"), F.count_if(F.col("side") == "new").alias("b"))
     many = n.where("a > 1 or b > 1").select(*PLACE, "key")
     single = rows.join(many, [*PLACE, "key"], "left_anti").groupBy(*PLACE, "key").agg(
