@@ -78,8 +78,9 @@ def database_diff(cells: DataFrame, keys: list[int], cfg: DiffConfig | None = No
     text = F.array_join("key", ",")
     base = {"phase": F.lit(0), "sheet_ord": F.lit(0)}
 
-    def told(found: DataFrame, grp: tuple[int, int, int], lead) -> DataFrame:
-        """Rows that one side lacks, and edits of the others."""
+    def told(found: DataFrame, name: str, grp: tuple[int, int, int], lead) -> DataFrame:
+        """Rows that one side lacks, and edits of the others. Matches and differing cells are written: both are read again."""
+        found = store.save(found, name)
         gone = ops(found.where("row_b is null"), **base, grp=F.lit(grp[0]), s1=lead(F.col("row_a")), s2=F.lit(1 << 40), kind=F.lit("RowRemoved"), row=F.col("row_a"), row_end=F.col("row_a"), key=text)
         come = ops(found.where("row_a is null"), **base, grp=F.lit(grp[1]), s1=lead(F.col("row_b")), s2=F.lit((1 << 40) + 1), kind=F.lit("RowAdded"), row=F.col("row_b"), row_end=F.col("row_b"), key=text)
         side = lambda s, at: rows.where(F.col("side") == s).select(*PLACE, F.col("row").alias(at), F.col("cells").alias(s))
@@ -87,7 +88,7 @@ def database_diff(cells: DataFrame, keys: list[int], cfg: DiffConfig | None = No
         each = both.select(*found.columns, F.explode(F.transform("cols", lambda c: F.struct(c.alias("col"), F.col("old")[c].alias("before"), F.col("new")[c].alias("after")))).alias("c")).select(*found.columns, "c.*")
         same = comparable(F.col("before")).eqNullSafe(comparable(F.col("after")))
         each = each.where((F.col("before").isNull() != F.col("after").isNull()) | (F.col("before").isNotNull() & ~same))
-        each = each.withColumn("fa", F.col("before.formula")).withColumn("fb", F.col("after.formula"))
+        each = store.save(each.withColumn("fa", F.col("before.formula")).withColumn("fb", F.col("after.formula")), f"{name}_edits")
         each = formula.with_change(each, "fa", "fb", F.col("row_b") - F.col("row_a"), F.lit(0)) if cfg.enable_formula_semantic_diff else each.withColumn("formula_diff", formula.plain_change(F.col("fa"), F.col("fb")))
         empty = F.lit(None).cast(CELL)
         edits = ops(
@@ -96,14 +97,14 @@ def database_diff(cells: DataFrame, keys: list[int], cfg: DiffConfig | None = No
         )
         return gone.unionByName(come).unionByName(edits)
 
-    out = told(single, (0, 1, 2), lambda row: row)
+    out = told(single, "single", (0, 1, 2), lambda row: row)
     heads = rows.join(many, [*PLACE, "key"]).groupBy(*PLACE, "key").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == "old", F.col("row")))).alias("left_rows"), F.array_sort(F.collect_list(F.when(F.col("side") == "new", F.col("row")))).alias("right_rows"),
         F.min("row").alias("row"), F.max("row").alias("row_end"),
     )
     first = heads.select(*PLACE, "key", F.col("row").alias("lead"))
     out = out.unionByName(ops(heads, **base, grp=F.lit(3), s1=F.col("row"), s2=F.lit(-1), kind=F.lit("DuplicateKeyCluster"), key=text))
-    out = out.unionByName(told(inside.join(first, [*PLACE, "key"]), (3, 3, 3), lambda row: F.col("lead")))
+    out = out.unionByName(told(inside.join(first, [*PLACE, "key"]), "inside", (3, 3, 3), lambda row: F.col("lead")))
     return out.unionByName(_outside(cells, rows, cols, keys, cfg))
 
 

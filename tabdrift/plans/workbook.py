@@ -322,20 +322,25 @@ def cell_pairs(plans: DataFrame, chosen: DataFrame, t: DataFrame, rows: DataFram
     return all_.groupBy(*at, "col_a", "col_b", "sheet", "mode", "width").agg(of("old").alias("before"), of("new").alias("after"))
 
 
-def edit_ops(pairs: DataFrame, cfg: DiffConfig) -> DataFrame:
-    """CellEdited, and rows of which nearly all cells differ as RowReplaced or, several together, RectReplaced."""
+def marked_pairs(pairs: DataFrame, cfg: DiffConfig) -> DataFrame:
+    """Pairs that differ (all, if unchanged cells are wanted), and whether nearly all cells of their row do."""
     differs = ~comparable(F.col("before")).eqNullSafe(comparable(F.col("after"))) | (F.col("before").isNull() != F.col("after").isNull())
-    marked = pairs.withColumn("differs", differs)
-    can_be_dense = not cfg.include_unchanged_cells and cfg.dense_row_replace_ratio > 0
-    if not cfg.include_unchanged_cells:
-        marked = marked.where("differs")
-    if can_be_dense:
-        limit = F.greatest(F.ceil(F.lit(cfg.dense_row_replace_ratio) * F.col("width")), F.lit(1))
-        by_row = (F.col("mode").isin("positional", "rows") | F.col("moved")) & (F.col("width") >= max(cfg.dense_row_replace_min_cols, 1))
-        n = F.count("*").over(Window.partitionBy(*PAIR, "moved", "row_a", "row_b"))
-        marked = marked.withColumn("dense", by_row & (n >= limit))
-    else:
-        marked = marked.withColumn("dense", F.lit(False))
+    marked = pairs if cfg.include_unchanged_cells else pairs.where(differs)
+    if not _can_be_dense(cfg):
+        return marked.withColumn("dense", F.lit(False))
+    limit = F.greatest(F.ceil(F.lit(cfg.dense_row_replace_ratio) * F.col("width")), F.lit(1))
+    by_row = (F.col("mode").isin("positional", "rows") | F.col("moved")) & (F.col("width") >= max(cfg.dense_row_replace_min_cols, 1))
+    n = F.count("*").over(Window.partitionBy(*PAIR, "moved", "row_a", "row_b"))
+    return marked.withColumn("dense", by_row & (n >= limit))
+
+
+def _can_be_dense(cfg: DiffConfig) -> bool:
+    return not cfg.include_unchanged_cells and cfg.dense_row_replace_ratio > 0
+
+
+def edit_ops(marked: DataFrame, cfg: DiffConfig) -> DataFrame:
+    """CellEdited, and rows of which nearly all cells differ as RowReplaced or, several together, RectReplaced. marked is
+    read several times, so it should be a written table."""
     grp = F.when(F.col("moved"), 0).otherwise(1)
     empty = F.struct(*[F.lit(None).cast(k).alias(n) for n, k in (("vkind", "string"), ("num", "double"), ("txt", "string"), ("flag", "boolean"), ("formula", "string"))])
     cells = marked.where("not dense")
@@ -350,7 +355,7 @@ def edit_ops(pairs: DataFrame, cfg: DiffConfig) -> DataFrame:
         cells, phase=F.lit(0), grp=grp, s1=F.when(F.col("moved"), last + F.col("row_b")).otherwise(F.col("row_b")), s2=F.col("col_b"), kind=F.lit("CellEdited"), row=F.col("row_b"), col=F.col("col_b"),
         row_end=F.col("row_b"), col_end=F.col("col_b"), **{"from": F.coalesce("before", empty), "to": F.coalesce("after", empty)},
     )
-    if not can_be_dense:
+    if not _can_be_dense(cfg):
         return edits
     rows = marked.where("dense").select(*PAIR, "sheet", "moved", "width", "row_a", "row_b").distinct()
     group = [*PAIR, "sheet", "moved", "width", "shift"]
@@ -365,7 +370,8 @@ def edit_ops(pairs: DataFrame, cfg: DiffConfig) -> DataFrame:
 
 
 def grid_diff(cells: DataFrame, sheets: DataFrame, cfg: DiffConfig | None = None, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
-    """(operations of sheets and cells, warnings). Sheets, cells with their hashes, lines and plans are written on the way."""
+    """(operations of sheets and cells, warnings). Sheets, cells with their hashes, lines, plans and
+    cells that differ are written on the way."""
     cfg = (cfg or DiffConfig()).validate()
     store = store or Store(cells.sparkSession)
     matched = store.save(match_sheets(sheets), "sheets")
@@ -373,8 +379,9 @@ def grid_diff(cells: DataFrame, sheets: DataFrame, cfg: DiffConfig | None = None
     rows = store.save(row_lines(t), "rows")
     chosen = store.save(strategies(matched, rows, cfg), "chosen")
     plans = store.save(sheet_plans(chosen, t, rows, column_lines(t), cfg), "plans")
-    pairs = cell_pairs(plans, chosen, t, rows, cfg)
-    found = sheet_ops(matched).unionByName(structural_ops(plans, chosen)).unionByName(edit_ops(pairs, cfg))
+    # differing cells are few beside all cells, and three kinds of operations start from them
+    marked = store.save(marked_pairs(cell_pairs(plans, chosen, t, rows, cfg), cfg), "marked")
+    found = sheet_ops(matched).unionByName(structural_ops(plans, chosen)).unionByName(edit_ops(marked, cfg))
     warnings = sheet_warnings(sheets)
     if cfg.on_limit_exceeded != "FallbackToPositional":
         over = chosen.where("strategy = 'limits'")
