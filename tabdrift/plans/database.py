@@ -7,12 +7,12 @@ inside it, rows without keys and sparse columns aren't compared."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DiffConfig
 from ..functions import formula
-from ..operators.keyed import LARGEST, match_cluster
+from ..operators.keyed import EXACT, LARGEST, match_cluster
 from ..schema import CELL, ops
 from ..store import Store
 from .workbook import cell_struct, comparable
@@ -42,15 +42,27 @@ def compared_columns(rows: DataFrame, keys: list[int]) -> DataFrame:
     return kept.groupBy(*PLACE).agg(F.array_sort(F.collect_set("col")).alias("cols"))
 
 
+def _ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with each row's place in its group by row, from 1. Counted in blocks of rows, so no task holds a whole group."""
+    blocked = df.withColumn("block", F.floor(F.col("row") / 65_536))
+    counts = blocked.groupBy(*by, "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.withColumn("before", before).drop("n")
+    at = blocked.withColumn("at", F.row_number().over(Window.partitionBy(*by, "block").orderBy("row")))
+    return at.join(first, [*by, "block"]).withColumn(name, F.col("at") + F.col("before")).drop("block", "before", *(["at"] if name != "at" else []))
+
+
 def _matched(df):
-    """Rows of one key that a side has more than once: (row_a, row_b) pairs and rows left over."""
+    """Differing rows of one key, at most LARGEST a side: (row_a, row_b) pairs and rows left over."""
+    import json
+
     import pandas as pd
 
-    df = df.sort_values(["side", "row"], ascending=[False, True])  # old before new
+    df = df.sort_values("row")
     sides = {s: df[df["side"] == s] for s in ("old", "new")}
-    values = {s: [tuple(v) for v in d["values"]] for s, d in sides.items()}
+    values = {s: [tuple(json.loads(v)) for v in d["v"]] for s, d in sides.items()}
     rows = {s: d["row"].tolist() for s, d in sides.items()}
-    pairs = match_cluster(values["old"][:LARGEST], values["new"][:LARGEST])
+    pairs = match_cluster(values["old"], values["new"], bool(df["size"].iloc[0] <= EXACT))
     used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
     out = [(rows["old"][i], rows["new"][j]) for i, j in pairs]
     out += [(r, None) for i, r in enumerate(rows["old"]) if i not in used_a] + [(None, r) for j, r in enumerate(rows["new"]) if j not in used_b]
@@ -60,6 +72,25 @@ def _matched(df):
     })
 
 
+def match_inside(listed: DataFrame, store: Store) -> DataFrame:
+    """pair_id, sheet, key, row_a, row_b for listed(pair_id, sheet, key, size, side, row, v), v being the compared values.
+
+    Rows with equal values pair off first, in the order of rows, by one aggregation; a key that very many rows share
+    comes down to its differing rows. Of these the first LARGEST a side are matched, the others are told as they are."""
+    group = [*PLACE, "key", "size"]
+    ranked = _ranked(listed, [*group, "side", "v"], "k")
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("row")))
+    paired = store.save(ranked.groupBy(*group, "v", "k").agg(of("old").alias("row_a"), of("new").alias("row_b")), "paired")
+    equal = paired.where("row_a is not null and row_b is not null")
+    left = paired.where("row_a is null or row_b is null").select(*group, "v", F.when(F.col("row_a").isNull(), "new").otherwise("old").alias("side"), F.coalesce("row_a", "row_b").alias("row"))
+    placed = store.save(_ranked(left, [*group, "side"], "at"), "placed")
+    schema = "pair_id string, sheet string, key array<string>, row_a long, row_b long"
+    near = placed.where(F.col("at") <= LARGEST).groupBy(*PLACE, "key").applyInPandas(_matched, schema)
+    own = lambda s: F.when(F.col("side") == s, F.col("row"))
+    rest = placed.where(F.col("at") > LARGEST).select(*PLACE, "key", own("old").alias("row_a"), own("new").alias("row_b"))
+    return near.unionByName(rest).unionByName(equal.select(*PLACE, "key", "row_a", "row_b"))
+
+
 def database_diff(cells: DataFrame, keys: list[int], cfg: DiffConfig | None = None) -> DataFrame:
     """Operations of sheets that both sides have, in the order removed, added, edits, clusters with what is in them, cells
     outside the table. cells have sheet names that are equal on both sides."""
@@ -67,14 +98,13 @@ def database_diff(cells: DataFrame, keys: list[int], cfg: DiffConfig | None = No
     rows = store.save(table_rows(cells, keys), "rows")
     cols = store.save(compared_columns(rows, keys), "columns")
     n = rows.groupBy(*PLACE, "key").agg(F.count_if(F.col("side") == "old").alias("a"), F.count_if(F.col("side") == "new").alias("b"))
-    many = n.where("a > 1 or b > 1").select(*PLACE, "key")
+    many = n.where("a > 1 or b > 1").select(*PLACE, "key", F.greatest("a", "b").alias("size"))
     single = rows.join(many, [*PLACE, "key"], "left_anti").groupBy(*PLACE, "key").agg(
         F.max(F.when(F.col("side") == "old", F.col("row"))).alias("row_a"), F.max(F.when(F.col("side") == "new", F.col("row"))).alias("row_b")
     )
     shared = rows.join(many, [*PLACE, "key"]).join(cols, PLACE, "left")
-    listed = shared.select(*PLACE, "key", "side", "row", F.transform(F.coalesce("cols", F.array().cast("array<bigint>")), lambda c: F.to_json(comparable(F.col("cells")[c]))).alias("values"))
-    schema = "pair_id string, sheet string, key array<string>, row_a long, row_b long"
-    inside = listed.groupBy(*PLACE, "key").applyInPandas(_matched, schema)
+    values = F.transform(F.coalesce("cols", F.array().cast("array<bigint>")), lambda c: F.to_json(comparable(F.col("cells")[c])))
+    inside = match_inside(shared.select(*PLACE, "key", "size", "side", "row", F.to_json(values).alias("v")), store)
     text = F.array_join("key", ",")
     base = {"phase": F.lit(0), "sheet_ord": F.lit(0)}
 

@@ -1,6 +1,7 @@
 """Whole diffs of small sheets, built from rows, against the operations that they should give."""
 
 import copy
+import json
 import random
 
 import pytest
@@ -115,6 +116,32 @@ def test_database(spark):
     ]
 
 
+def test_inside_a_key(spark, monkeypatch):
+    """Rows of one key against the plain matching of all of them; rows beyond the limit are told one by one."""
+    rng = random.Random(5)
+    keys = {f"k{n}": [[(str(rng.randrange(4)), str(rng.randrange(3)), None) for _ in range(rng.randrange(1, n))] for _ in "ab"] for n in (3, 8, 16, 60)}
+    keys["hot"] = [[("x", str(r % 5), None) for r in range(4000)], [("x", str(r % 5), None) if r % 1000 else ("y", "y", None) for r in range(4000)]]
+    place = lambda r: r * 30_000  # noqa: E731  rows in several blocks
+    rows = [("p", "S", [k], max(map(len, sides)), s, place(r), json.dumps(v)) for k, sides in keys.items() for s, vs in zip(("old", "new"), sides) for r, v in enumerate(vs)]
+    listed = spark.createDataFrame(rows, "pair_id string, sheet string, key array<string>, size long, side string, row long, v string")
+    got = {k: [] for k in keys}
+    for r in database.match_inside(listed, Store(spark)).collect():
+        got[r.key[0]].append((r.row_a, r.row_b))
+    for k, (a, b) in keys.items():
+        pairs = keyed.match_cluster(a, b)
+        gone, come = set(range(len(a))) - {i for i, _ in pairs}, set(range(len(b))) - {j for _, j in pairs}
+        want = [(place(i), place(j)) for i, j in pairs] + [(place(i), None) for i in gone] + [(None, place(j)) for j in come]
+        # at least cost there can be several best matchings; a greedy one is unique
+        if max(len(a), len(b)) > keyed.EXACT:
+            assert sorted(got[k], key=repr) == sorted(want, key=repr)
+        at = lambda side, r: side[r // 30_000]
+        cost = lambda found: sum(keyed.unmatched_cost(3) if x is None or y is None else 2 * sum(p != q for p, q in zip(at(a, x), at(b, y))) for x, y in found)  # noqa: B023, E731
+        assert cost(got[k]) == cost(want) and len(got[k]) == len(want)
+    monkeypatch.setattr(database, "LARGEST", 2)
+    few = database.match_inside(listed.where("key[0] = 'hot'"), Store(spark)).collect()
+    assert sum(r.row_a is not None for r in few) == sum(r.row_b is not None for r in few) == 4000 and sum(None in (r.row_a, r.row_b) for r in few) == 8
+
+
 def test_keyed_clusters(spark):
     schema = "k long, t string, v double"
     old = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "c", 3.0), (2, "x", 1.0), (4, "z", 1.0), (4, "z", 1.0), (None, "n", 1.0)], schema)
