@@ -71,7 +71,8 @@ class DiffResult:
         rects = views.interest(self.ops, wide)
         cells = self.parts["cells"]
         return {
-            "ops": self.numbered(), "rows": views.axis(self.ops, axis("nrows")), "columns": views.axis(self.ops, axis("ncols"), rows=False), "interest": rects,
+            "ops": self.numbered(), "rows": views.axis(self.ops, axis("nrows"), most=views.MAX_ROWS), "columns": views.axis(self.ops, axis("ncols"), rows=False, most=views.MAX_COLS),
+            "interest": rects,
             **{s: views.snapshot(cells.where(F.col("side") == s).drop("side"), rects, s) for s in ("old", "new")},
         }
 

@@ -74,9 +74,11 @@ def sheet_diff_ops(spark, d):
  SELECT v AS view, v AS old, CASE WHEN v < 10 THEN v WHEN v > 14 THEN v - 5 END AS new, CASE WHEN v BETWEEN 10 AND 14 THEN 'delete' ELSE 'match' END AS kind FROM v""")
 def axis_alignment(spark, d):
     old, _ = sheets(spark, d)
-    n = old.where("sheet = 's1'").agg(F.count("*").alias("old_n")).select(F.lit("").alias("pair_id"), F.lit("s1").alias("sheet"), "old_n", (F.col("old_n") - 5).alias("new_n"))
-    gone = spark.range(10, 15).select(F.lit("").alias("pair_id"), F.lit("s1").alias("sheet"), F.lit("RowRemoved").alias("kind"), F.col("id").alias("row"), F.col("id").alias("row_end"))
-    return views.axis(ops(gone), n).select(F.col("view").cast("bigint").alias("view"), "old", "new", "kind")
+    cut = F.greatest(F.least("old_n", F.lit(15)) - 10, F.lit(0))  # rows 10 to 14, as far as the sheet has them
+    n = old.where("sheet = 's1'").agg(F.count("*").alias("old_n")).select(F.lit("").alias("pair_id"), F.lit("s1").alias("sheet"), "old_n", (F.col("old_n") - cut).alias("new_n"))
+    at = F.explode(F.sequence(F.lit(10).cast("bigint"), 9 + F.col("old_n") - F.col("new_n"))).alias("row")
+    gone = n.where("new_n < old_n").select("pair_id", "sheet", F.lit("RowRemoved").alias("kind"), at).withColumn("row_end", F.col("row"))
+    return views.axis(ops(gone), n).select("view", "old", "new", "kind")
 
 
 _ORDERS_BY_SHEET = """a AS (SELECT o_orderkey % 4 AS sheet, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) - 1 AS r, o_custkey * 1000000 + o_orderkey AS sig FROM orders),
