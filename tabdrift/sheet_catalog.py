@@ -112,7 +112,7 @@ def _rows(spark, d: str) -> tuple[DataFrame, DataFrame]:
 def preflight_strategy(spark, d):
     matched, rows = _rows(spark, d)
     cfg = DiffConfig(preflight_min_rows=200, preflight_in_order_match_ratio_min=0.99)
-    return workbook.strategies(matched, rows, cfg).select(F.col("sheet_ord").alias("sheet"), "strategy")
+    return workbook.preflight(matched, rows, cfg).select(F.col("sheet_ord").alias("sheet"), "strategy")
 
 
 @query(f"""WITH {_ORDERS_BY_SHEET}, n AS (SELECT sheet, count(*) AS n FROM a GROUP BY sheet), p AS (SELECT sheet, n, greatest(n // least(n, 500), 1) AS step FROM n),
